@@ -32,16 +32,30 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{base} as base_failed", "kept", "failed")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_personal_data": op2_personal_data,
     "op3_rule_ledger": op3_rule_ledger,
+    "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
