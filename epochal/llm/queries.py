@@ -44,6 +44,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rule_ledger": op3_rule_ledger,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
