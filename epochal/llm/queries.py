@@ -38,6 +38,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op10_warc": op10_warc,
