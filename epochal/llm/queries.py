@@ -56,6 +56,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeated_bytes
+
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), window=400)
+
+
+def op9_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents"), window=35)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 
@@ -70,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_suffix_repeats": op8_suffix_repeats,
+    "op9_substring_repeats": op9_substring_repeats,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
