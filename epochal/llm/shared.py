@@ -60,11 +60,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", most: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` whose ``column`` is not among ``ids``.
+def without(docs: DataFrame, ids: DataFrame, columns: str | list[str] = "doc_id", most: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose ``columns`` are not among those of ``ids``.
 
     ``ids`` is written out and counted: up to ``most`` of them are broadcast, so the texts stay where they are; more are joined
     by a shuffle.
     """
-    found = durable(ids.select(column).distinct(), "ids")
-    return docs.join(F.broadcast(found) if found.count() <= most else found, column, "left_anti")
+    found = durable(ids.select(columns).distinct(), "ids")
+    return docs.join(F.broadcast(found) if found.count() <= most else found, columns, "left_anti")

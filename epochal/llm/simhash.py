@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import durable, text_of
+from .shared import durable, text_of, without
 
 BITS, BLOCK, BUDGET = 64, 16, 3
 #: Node pairs followed at a time; rows of one unit of work at most, before it is split.
@@ -45,14 +45,15 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (its 64 bits as a signed long) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, fingerprint (its 64 bits as a signed long) and a hash of the text of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fingerprint", "content"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("content"))
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, content long")
 
 
 def _units(nodes: DataFrame) -> DataFrame:
@@ -175,18 +176,40 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id for every row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the least doc_id that links of at most three differing bits reach. Null and empty texts have the zero
-    fingerprint and link like any other. Repeated rows are returned each; rows whose doc_id is null take part.
-    """
+def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     own = durable(fingerprints(docs, shingle), "fingerprints")
     nodes = durable(own.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "nodes")
     units = _units(nodes).repartition("unit").sortWithinPartitions("unit", "side", "turned")
     roots = components(units.mapInArrow(_links, "u long, v long"))
     placed = roots.join(nodes, roots.node == nodes.fingerprint).select("fingerprint", "root", "low")
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = placed.join(lowest, "root").select("fingerprint", "component_id")
-    classes = nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "low").alias("component_id"))
-    return own.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = placed.join(lowest, "root").select("fingerprint", "root", "component_id")
+    every = nodes.join(linked, "fingerprint", "left")
+    every = every.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    return own.join(every, "fingerprint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id for every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the least doc_id that links of at most three differing bits reach. Null and empty texts have the zero
+    fingerprint and link like any other. Repeated rows are returned each; rows whose doc_id is null take part.
+    """
+    return _classes(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one stays of each group of near-duplicates: that with the least
+    doc_id (null last), then the least hash of its text. Of repeated rows one stays."""
+    key = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__content": F.xxhash64(text_of())}
+    rows = docs.withColumns(key)
+    classes = _classes(docs, shingle).select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("content").alias("__content"))
+    counted = durable(classes.groupBy("root", "__id", "__content").agg(F.count("*").alias("n")), "copies")
+    first = counted.groupBy("root").agg(F.min(F.struct("__id", "__content")).alias("one")).select("root", "one.*")
+    gone = counted.join(first, ["root", "__id", "__content"], "left_anti")
+    kept = without(rows, gone, ["__id", "__content"])
+    doubled = counted.join(first, ["root", "__id", "__content"], "left_semi").where("n > 1").select("__id", "__content")
+    if not doubled.isEmpty():
+        again = kept.join(doubled, ["__id", "__content"], "left_semi").dropDuplicates(["__id", "__content"])
+        kept = without(kept, doubled, ["__id", "__content"]).unionByName(again)
+    return kept.select(*docs.columns)
