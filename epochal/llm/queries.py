@@ -86,4 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_repeats": op9_substring_repeats,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WHITE = r"[ \t\n\x0B\f\r]+"
+ORACLE_SQL: dict[str, str] = {
+    "op3_rule_ledger": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '{_WHITE}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM d),
+        g AS (SELECT r, i, w[i] || chr(10) || w[i+1] || chr(10) || w[i+2] || chr(10) || w[i+3] || chr(10) || w[i+4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+        h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+        p AS (SELECT r, CAST(sum(least(5, coalesce(nx - i, 5))) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM h) GROUP BY r),
+        m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WHITE}', '', 'g')) AS BIGINT) AS word_chars,
+              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+              coalesce(p.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
+              length(t) - length(replace(t, '!', '')) AS n_exclaims FROM w LEFT JOIN p USING (r)),
+        f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+              + CASE WHEN 2 * n_upper > n_letters AND n_letters > 0 THEN 8 ELSE 0 END + CASE WHEN 10 * n_exclaims > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
+              + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 1000 AND count(*) OVER (PARTITION BY d) > 1 THEN max(page_id) OVER (PARTITION BY d) END AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+    """,
+}
