@@ -27,7 +27,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import apply_policy, ledger
 
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), "v2")
+    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), "v3")
     base = "failed & 3 != 0"
     return rows.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{base} as base_failed", "kept", "failed")
 
@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
               + CASE WHEN 2 * n_upper > n_letters AND n_letters > 0 THEN 8 ELSE 0 END + CASE WHEN 10 * n_exclaims > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
               + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 95 = 0 AS kept, failed FROM f
     """,
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),

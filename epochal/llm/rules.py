@@ -28,6 +28,8 @@ BIT = {name: 1 << i for i, name in enumerate(RULES)}
 POLICIES = {
     "v1": ("few_words", "repeated_windows"),
     "v2": tuple(RULES),
+    # the ablation of v2 on labelled documents: what repeated lines alone reject is good
+    "v3": tuple(r for r in RULES if r != "repeated_lines"),
 }
 _WHITE = r"[ \\t\\n\\x0B\\f\\r]+"
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_exclaims")
