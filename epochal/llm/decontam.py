@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of, without
+from .shared import durable, text_of, without
 
 WINDOW, LEAST_ITEM, LEAST_WINDOWS = 8, 3, 5
 #: Benchmark windows up to this number are broadcast.
@@ -29,59 +29,92 @@ _PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\\\]^_`{|}~¡¿«»“”‘’…–
 _SEP = "\\u001f"
 
 
-def canonical(rows: DataFrame) -> DataFrame:
-    """``rows`` with a column ``_text`` gain ``_c``, the canonical words, and ``_v``, the value behind each placeholder or null."""
+def _kind(with_values: bool) -> str:
+    """SQL that makes canonical words of ``_w``, words, and ``_b``, words without the punctuation around them.
+
+    Comparisons of whole words against single characters look at the first byte alone, which spares a regular expression per
+    word; empty words, which were punctuation, drop. With values, each element is a struct of the word and what it stands for.
+    """
     units = ", ".join(f"'{u}'" for u in UNITS)
+    capital = "((b >= 'A' and b < '[') or (b >= 'À' and b < 'ɐ' and left(b, 1) != lower(left(b, 1))))"
+    kind = (
+        "case when b >= '0' and b < ':' then '#number' "
+        f"when i > 0 and _b[i - 1] >= '0' and _b[i - 1] < ':' and lower(b) in ({units}) then '#unit' "
+        f"when {capital} and i > 0 and right(_w[i - 1], 1) not in ('.', '!', '?', ':') then '#name' else lower(b) end"
+    )
+    if not with_values:
+        return f"filter(transform(_b, (b, i) -> {kind}), c -> c != '')"
+    return f"filter(transform(_b, (b, i) -> named_struct('w', {kind}, 'v', lower(b))), c -> c.w != '')"
+
+
+def _bare(rows: DataFrame) -> DataFrame:
     words = r"filter(split(_text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w != '')"
-    bare = f"btrim(w, '{_PUNCTUATION}')"
-    inside = r"(i > 0 and right(_w[i - 1], 1) not in ('.', '!', '?', ':'))"
-    kind = f"case when b rlike '^[0-9]' then '#number' when lower(b) in ({units}) and i > 0 and right(_b[i - 1], 1) rlike '[0-9]' then '#unit' when {inside} and left(b, 1) != lower(left(b, 1)) then '#name' else lower(b) end"
+    clean = "((w >= 'a' and w < '{') or (w >= 'A' and w < '[') or (w >= '0' and w < ':') or (w >= 'À' and w < 'ɐ')) and right(w, 1) between 'a' and 'z'"
+    return rows.withColumn("_w", F.expr(words)).withColumn("_b", F.expr(f"transform(_w, w -> if({clean}, w, btrim(w, '{_PUNCTUATION}')))"))
+
+
+def canonical(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``_text`` gain ``_c``, the canonical words."""
+    return _bare(rows).withColumn("_c", F.expr(_kind(False))).drop("_w", "_b", "_text")
+
+
+def values(rows: DataFrame) -> DataFrame:
+    """As ``canonical``, with ``_v`` besides: the value behind each placeholder, null for other words."""
+    out = _bare(rows).withColumn("_cv", F.expr(_kind(True))).drop("_w", "_b", "_text")
     value = "if(c.w in ('#number', '#unit', '#name'), c.v, null)"
-    out = rows.withColumn("_w", F.expr(words)).withColumn("_b", F.expr(f"transform(_w, w -> {bare})"))
-    out = out.withColumn("_cv", F.expr(f"filter(transform(_b, (b, i) -> named_struct('w', {kind}, 'v', lower(b))), c -> c.w != '')"))
-    return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_w", "_b", "_cv", "_text")
+    return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_cv")
 
 
-def _windows(rows: DataFrame, key: str, length: int) -> DataFrame:
-    """Every window of that length: key, at, h, values (of its placeholders, in order)."""
-    hashed = ", ".join(f"z.c[i + {k}]" for k in range(length))
-    one = f"named_struct('h', xxhash64({hashed}), 'v', array_join(slice(z.v, i + 1, {length}), '{_SEP}'))"
+def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Every window of that length: keys, at, h."""
+    hashed = ", ".join(f"z[i + {k}]" for k in range(length))
     # the words are bound once for all windows, and the outer form keeps the optimizer from making the windows twice to filter
-    made = f"transform(array(named_struct('c', _c, 'v', _v)), z -> transform(if(size(z.c) < {length}, cast(array() as array<int>), sequence(0, size(z.c) - {length})), i -> {one}))[0]"
-    return rows.selectExpr(key, f"posexplode_outer({made}) as (at, x)").select(key, "at", F.col("x.h").alias("h"), F.col("x.v").alias("values")).where("h is not null")
+    made = f"transform(array(_c), z -> transform(if(size(z) < {length}, cast(array() as array<int>), sequence(0, size(z) - {length})), i -> xxhash64({hashed})))[0]"
+    return rows.selectExpr(*keys, f"posexplode_outer({made}) as (at, h)").where("h is not null")
+
+
+def _slots(at: str, length: int) -> str:
+    return f"array_join(slice(_v, {at} + 1, {length}), '{_SEP}')"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document (doc_id) and item (item_id) that share consistent windows.
 
-    n_windows: windows of the item that were met; item_windows: its windows that hold three literal words in five; changed: some value behind a placeholder is
-    another one; contaminated: as defined above.
+    n_windows: windows of the item that were met; item_windows: its windows that hold three literal words in five; changed: some
+    value behind a placeholder is another one; contaminated: as defined above.
+
+    The pass over all texts makes hashes alone. Values are made in a second pass for the documents that have a hit.
     """
-    items = canonical(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
-    texts = canonical(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")))
+    items = values(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("_text"))
+    texts = canonical(rows.drop("doc_id"))
     short = [r.n for r in items.select(F.size("_c").alias("n")).where(f"n >= {LEAST_ITEM} and n < {WINDOW}").distinct().collect()]  # at most five numbers
     hits = sizes = None
     for length in [WINDOW, *sorted(short)]:
         own = items if length == WINDOW else items.where(F.size("_c") == length)
-        literal = own.withColumn("_lit", F.expr("transform(_c, c -> if(startswith(c, '#'), 0, 1))")).select("item_id", "_lit")
-        asked = _windows(own, "item_id", length).withColumnsRenamed({"at": "q_at", "values": "q_values"})
-        asked = asked.join(literal, "item_id").where(f"aggregate(slice(_lit, q_at + 1, {length}), 0, (a, b) -> a + b) * 5 >= {3 * length}").drop("_lit")
-        few = asked.count() <= BROADCAST_WINDOWS
-        found = _windows(texts, "doc_id", length).join(F.broadcast(asked) if few else asked, "h")
+        literal = f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(startswith(c, '#'), 0, 1)) * 5 >= {3 * length}"
+        asked = _windows(own, ["item_id", "_c", "_v"], length).withColumnRenamed("at", "q_at").where(literal)
+        asked = asked.select("item_id", "q_at", "h", F.expr(_slots("q_at", length)).alias("q_values"), F.lit(length).alias("length"))
         usable = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"))
+        few = asked.count() <= BROADCAST_WINDOWS
+        found = _windows(texts, ["k1", "k2"], length).join(F.broadcast(asked) if few else asked, "h").drop("h")
+        hits = found if hits is None else hits.unionByName(found)
         sizes = usable if sizes is None else sizes.unionByName(usable)
-        hits = found.drop("h") if hits is None else hits.unionByName(found.drop("h"))
-    hits = hits.withColumn("diagonal", F.expr("at - q_at"))
-    key = ["doc_id", "item_id", "diagonal"]
+    hits = durable(hits, "hits")
+    ids = hits.select("k1", "k2").distinct()
+    some = ids.count() <= BROADCAST_WINDOWS
+    held = values(rows.join(F.broadcast(ids) if some else ids, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", "_text")).dropDuplicates(["k1", "k2"]).drop("_c")
+    per = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "at", "q_at", "q_values", "length")).alias("_h"))  # bounded by the document's words
+    made = "transform(_h, h -> named_struct('item_id', h.item_id, 'q_at', h.q_at, 'diagonal', h.at - h.q_at, 'q_values', h.q_values, 'values', array_join(slice(_v, h.at + 1, h.length), '%s')))" % _SEP
+    hits = held.join(per, ["k1", "k2"]).select("k1", "k2", "doc_id", F.expr(f"inline({made})"))
+    key = ["k1", "k2", "item_id", "diagonal"]
     # in one alignment a value of the item meets one value of the document
     both = F.arrays_zip(F.split("q_values", _SEP).alias("q"), F.split("values", _SEP).alias("d"))
     met = hits.where("q_values != ''").select(*key, F.explode(both).alias("p")).select(*key, F.col("p.q").alias("q"), F.col("p.d").alias("d"))
     met = met.groupBy(*key, "q").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     slots = met.groupBy(*key).agg(F.max(F.expr("lo is distinct from hi")).alias("broken"), F.max(F.expr("q is distinct from lo")).alias("changed"))
-    spans = hits.groupBy(*key).agg(F.count_distinct("q_at").alias("met"))
-    slots = slots.select(*[F.col(k).alias(f"_{k}") for k in key], "broken", "changed")
-    whole = spans.join(slots, (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("item_id") == F.col("_item_id")) & (F.col("diagonal") == F.col("_diagonal")), "left")
-    whole = whole.where("not coalesce(broken, false)")
+    spans = hits.groupBy(*key, "doc_id").agg(F.count_distinct("q_at").alias("met"))
+    whole = spans.join(slots, key, "left").where("not coalesce(broken, false)")
     pairs = whole.groupBy("doc_id", "item_id").agg(F.sum("met").alias("n_windows"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
     sizes = sizes.groupBy("item_id").agg(F.max("item_windows").alias("item_windows"))
     return pairs.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "item_windows", "changed", F.expr(f"n_windows >= least({LEAST_WINDOWS}, item_windows)").alias("contaminated"))
