@@ -178,7 +178,13 @@ def warp_counts(spark, sf_dir):
     return warping.warp_counts(trains(spark, sf_dir), epochs(spark), 5, ["unit"])
 
 
-@query(f"WITH {X}, {E}, {XE}, m AS (SELECT epoch_id, CAST(least((t_ns - start_ns) * 4 // (end_ns - start_ns), 3) AS INT) AS bin, avg(v) AS v FROM xe GROUP BY ALL) SELECT e.epoch_id, k.bin, round(m.v, 6) AS v FROM e CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(4)) k LEFT JOIN m ON m.epoch_id = e.epoch_id AND m.bin = k.bin")
+@query(
+    f"WITH {X}, {E}, {XE}, r AS (SELECT *, row_number() OVER (PARTITION BY epoch_id ORDER BY t_ns) - 1 AS r, count(*) OVER (PARTITION BY epoch_id) AS n, lead(v) OVER (PARTITION BY epoch_id ORDER BY t_ns) AS nx FROM xe), "
+    "m AS (SELECT epoch_id, CAST(least((t_ns - start_ns) * 4 // (end_ns - start_ns), 3) AS INT) AS bin, avg(v) AS v FROM r WHERE n > 4 GROUP BY ALL), "
+    "p AS (SELECT DISTINCT epoch_id, k.bin, k.bin * (n - 1) / 3.0::DOUBLE AS p FROM r CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(4)) k WHERE n <= 4), "
+    "f AS (SELECT p.epoch_id, p.bin, r.v + coalesce((r.nx - r.v) * (p - r.r), 0) AS v FROM p JOIN r ON r.epoch_id = p.epoch_id AND r.r = CAST(floor(p) AS BIGINT)), "
+    "a AS (SELECT * FROM m UNION ALL SELECT * FROM f) SELECT e.epoch_id, k.bin, round(a.v, 6) AS v FROM e CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(4)) k LEFT JOIN a ON a.epoch_id = e.epoch_id AND a.bin = k.bin"
+)
 def warp_signal(spark, sf_dir):
     return warping.warp_signal(events(spark, sf_dir), epochs(spark), 4).withColumn("v", F.round("v", 6))
 
