@@ -186,7 +186,8 @@ def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     linked = placed.join(lowest, "root").select("fingerprint", "root", "component_id")
     every = nodes.join(linked, "fingerprint", "left")
     every = every.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
-    return own.join(every, "fingerprint")
+    # written out, so that the join is between two plain shuffles and adaptive execution can split a hot fingerprint
+    return own.join(durable(every, "classes"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
