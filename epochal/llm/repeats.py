@@ -79,10 +79,11 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
             yield _batch(out, [i64, i64, i32, i32, i64, i64, pa.bool_()], ["k1", "k2", "a", "b", "anchor", "content", "inner"])
 
     made = durable(rows.select("k1", "k2", "text").mapInArrow(make_segments, "k1 long, k2 long, a int, b int, anchor long, content long, inner boolean"), "segments")
-    again = made.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor")
+    # written out, so that the joins below are between plain shuffles and adaptive execution can split a hot anchor
+    again = durable(made.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor"), "anchors")
     found = durable(made.join(again, "anchor", "left_semi"), "shared-segments")
     classes = durable(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("k1", "k2", "a", "b")).alias("one")), "classes")
-    groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").drop("inner")
+    groups = durable(classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").drop("inner"), "groups")
     asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", "m")
     wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "anchor", "content", "m")).alias("parts"))
 
