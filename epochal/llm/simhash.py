@@ -176,7 +176,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _classes(docs: DataFrame, shingle: int) -> DataFrame:
+def classes_of(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint, content, root and component_id for every row of ``docs`` (doc_id, text)."""
     own = durable(fingerprints(docs, shingle), "fingerprints")
     nodes = durable(own.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "nodes")
     units = _units(nodes).repartition("unit").sortWithinPartitions("unit", "side", "turned")
@@ -196,15 +197,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ``component_id`` is the least doc_id that links of at most three differing bits reach. Null and empty texts have the zero
     fingerprint and link like any other. Repeated rows are returned each; rows whose doc_id is null take part.
     """
-    return _classes(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes_of(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one stays of each group of near-duplicates: that with the least
     doc_id (null last), then the least hash of its text. Of repeated rows one stays."""
+    return keep_first(docs, classes_of(docs, shingle))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each root of ``classes`` (root, doc_id, content) the first row of ``docs``, as ``keep_one`` orders them."""
     key = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__content": F.xxhash64(text_of())}
     rows = docs.withColumns(key)
-    classes = _classes(docs, shingle).select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("content").alias("__content"))
+    classes = classes.select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("content").alias("__content"))
     counted = durable(classes.groupBy("root", "__id", "__content").agg(F.count("*").alias("n")), "copies")
     first = counted.groupBy("root").agg(F.min(F.struct("__id", "__content")).alias("one")).select("root", "one.*")
     gone = counted.join(first, ["root", "__id", "__content"], "left_anti")
