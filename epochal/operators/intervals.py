@@ -145,14 +145,14 @@ def merge_close(df: DataFrame, threshold_ns: int, by: list[str] | None = None) -
     return numbered(_islands(rows, by, F.col("_close")), by).select(*by, "epoch_id", *EDGES)
 
 
-def drop_short(df: DataFrame, threshold_ns: int) -> DataFrame:
+def drop_short(df: DataFrame, threshold_ns: int, by: list[str] | None = None) -> DataFrame:
     """Intervals longer than the threshold."""
-    return numbered(df.where(F.col("end_ns") - F.col("start_ns") > threshold_ns))
+    return numbered(df.where(F.col("end_ns") - F.col("start_ns") > threshold_ns), by or [])
 
 
-def drop_long(df: DataFrame, threshold_ns: int) -> DataFrame:
+def drop_long(df: DataFrame, threshold_ns: int, by: list[str] | None = None) -> DataFrame:
     """Intervals shorter than the threshold."""
-    return numbered(df.where(F.col("end_ns") - F.col("start_ns") < threshold_ns))
+    return numbered(df.where(F.col("end_ns") - F.col("start_ns") < threshold_ns), by or [])
 
 
 def time_span(df: DataFrame) -> DataFrame:

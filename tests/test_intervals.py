@@ -29,6 +29,13 @@ def test_known_values(spark):
         iv.centers(c, 1)
 
 
+def test_drops_number_each_group(spark):
+    both = iset(spark, [(0, 5), (10, 40), (50, 90)], k=["1"] * 3).union(iset(spark, [(0, 20), (30, 32), (40, 70)], k=["2"] * 3))
+    rows = lambda df: sorted((r.k, r.epoch_id, r.start_ns // S) for r in df.collect())
+    assert rows(iv.drop_short(both, 10 * S, ["k"])) == [("1", 0, 10), ("1", 1, 50), ("2", 0, 0), ("2", 1, 40)]
+    assert rows(iv.drop_long(both, 35 * S, ["k"])) == [("1", 0, 0), ("1", 1, 10), ("2", 0, 0), ("2", 1, 30), ("2", 2, 40)]
+
+
 def test_support(spark):
     x = samples(spark, [0, 10, 21, 22])
     assert pairs(iv.find_support(x, 10 * S)) == [(0, 10 + 1e-6), (21, 22 + 1e-6)]
