@@ -36,7 +36,7 @@ def _kind(with_values: bool) -> str:
     word; empty words, which were punctuation, drop. With values, each element is a struct of the word and what it stands for.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
-    capital = "((b >= 'A' and b < '[') or (b >= 'À' and b < 'ɐ' and left(b, 1) != lower(left(b, 1))))"
+    capital = "((b >= 'A' and b < '[') or (b >= 'À' and left(b, 1) != lower(left(b, 1))))"
     kind = (
         "case when b >= '0' and b < ':' then '#number' "
         f"when i > 0 and _b[i - 1] >= '0' and _b[i - 1] < ':' and lower(b) in ({units}) then '#unit' "

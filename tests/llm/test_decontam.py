@@ -23,6 +23,13 @@ def test_copies_and_changed_copies(spark):
     assert (n + 4, 100) not in got  # one name of the item became two
 
 
+def test_names_outside_latin(spark):
+    items = ["вчера пекарь Анна продала двенадцать булок в лавке", "χθες ο φούρναρης Νίκος πούλησε δώδεκα ψωμιά", "hôm qua bà Ấn bán mười ổ bánh"]
+    changed = [items[0].replace("Анна", "Ольга"), items[1].replace("Νίκος", "Γιώργος"), items[2].replace("Ấn", "Ẩm")]
+    got = found(spark, changed, items)
+    assert set(got) == {(0, 100), (1, 101), (2, 102)} and all(r.changed for r in got.values())
+
+
 def test_short_items_and_nulls(spark):
     got = found(spark, ["why does it rain so", "Well. Why does it rain? So.", None], ["why does it rain", "a b", None, ""])
     assert set(got) == {(0, 100), (1, 100)}
