@@ -7,8 +7,12 @@ and in it the values behind the placeholders must be consistent: a value of the
 document. So a question that was copied, or copied with other numbers and names, is found, and unrelated texts that share a
 template are not.
 
+Whether a word is a name depends on its case and on the word before, so every window has a second key, in which names are words
+in lower case and only numbers and units are placeholders: copies in capitals, and copies that begin inside a sentence, share
+it. Both kinds of windows count together.
+
 A document is contaminated by an item if consistent alignments cover ``LEAST_WINDOWS`` of the item's windows, or all where it
-has fewer. Items of three to seven words are one window of their own length; shorter items cannot be told from common
+has fewer; for windows met by their template, of those that hold three literal words in five. Items of three to seven words are one window of their own length; shorter items cannot be told from common
 phrases and are left out. Null and empty texts match nothing. Rows that share a doc_id count as one document. Rows whose doc_id is null are searched together
 and appear with a null doc_id.
 """
@@ -54,34 +58,47 @@ def _bare(rows: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """``rows`` with a column ``_text`` gain ``_c``, the canonical words."""
-    return _bare(rows).withColumn("_c", F.expr(_kind(False))).drop("_w", "_b", "_text")
+    """``rows`` with a column ``_text`` gain ``_c``, the canonical words, and ``_x``, the same words in lower case."""
+    return _bare(rows).withColumn("_c", F.expr(_kind(False))).withColumn("_x", F.expr("filter(transform(_b, b -> lower(b)), x -> x != '')")).drop("_w", "_b", "_text")
 
 
 def values(rows: DataFrame) -> DataFrame:
     """As ``canonical``, with ``_v`` besides: the value behind each placeholder, null for other words."""
     out = _bare(rows).withColumn("_cv", F.expr(_kind(True))).drop("_w", "_b", "_text")
     value = "if(c.w in ('#number', '#unit', '#name'), c.v, null)"
-    return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_cv")
+    return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_x", F.expr("transform(_cv, c -> c.v)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_cv")
 
 
 def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Every window of that length: keys, at, h."""
-    hashed = ", ".join(f"z[i + {k}]" for k in range(length))
+    """Every window of that length under its keys: keys, at, kind, h.
+
+    Kind 0 is the template. Kind 1 takes names as words; it is left out where both are the same. The unit that a window may
+    begin with is a word there, since it is a unit by the word before the window.
+    """
+    template = ", ".join(f"z[i + {k}]" for k in range(length))
+    folded = ", ".join(["if(f[i] = '#unit', y[i], f[i])", *(f"f[i + {k}]" for k in range(1, length))])
     # the words are bound once for all windows, and the outer form keeps the optimizer from making the windows twice to filter
-    made = f"transform(array(_c), z -> transform(if(size(z) < {length}, cast(array() as array<int>), sequence(0, size(z) - {length})), i -> xxhash64({hashed})))[0]"
-    return rows.selectExpr(*keys, f"posexplode_outer({made}) as (at, h)").where("h is not null")
+    at = f"if(size(z) < {length}, cast(array() as array<int>), sequence(0, size(z) - {length}))"
+    first, second = f"transform(p, i -> xxhash64({template}))", f"transform(p, i -> xxhash64({folded}))"
+    both = f"transform(array({first}), a -> concat(a, zip_with(a, {second}, (g, h) -> if(g = h, null, h))))[0]"
+    made = "zip_with(_c, _x, (c, x) -> if(c = '#name', x, c))"
+    made = f"transform(array(_c), z -> transform(array(_x), y -> transform(array({made}), f -> transform(array({at}), p -> {both})[0])[0])[0])[0]"
+    found = rows.selectExpr(*keys, f"greatest(size(_c) - {length - 1}, 1) as _n", f"posexplode_outer({made}) as (_p, h)").where("h is not null")
+    return found.selectExpr(*keys, "_p % _n as at", "cast(_p div _n as int) as kind", "h")
 
 
-def _slots(at: str, length: int) -> str:
-    return f"array_join(slice(_v, {at} + 1, {length}), '{_SEP}')"
+def _slots(at: str, length: int | str, kind: str) -> str:
+    """The values behind the placeholders of a window under a kind of key."""
+    inside = f"transform(slice(_v, {at} + 2, {length} - 1), (v, i) -> if(_c[{at} + 1 + i] = '#name', null, v))"
+    folded = f"concat(array(if(_c[{at}] = '#number', _v[{at}], null)), {inside})"
+    return f"array_join(if({kind} = 0, slice(_v, {at} + 1, {length}), {folded}), '{_SEP}')"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document (doc_id) and item (item_id) that share consistent windows.
 
-    n_windows: windows of the item that were met; item_windows: its windows that hold three literal words in five; changed: some
-    value behind a placeholder is another one; contaminated: as defined above.
+    n_windows: windows of the item that were met; item_windows: its windows that are asked for; changed: some value behind a
+    placeholder is another one; contaminated: as defined above.
 
     The pass over all texts makes hashes alone. Values are made in a second pass for the documents that have a hit.
     """
@@ -92,20 +109,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = sizes = None
     for length in [WINDOW, *sorted(short)]:
         own = items if length == WINDOW else items.where(F.size("_c") == length)
-        literal = f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(startswith(c, '#'), 0, 1)) * 5 >= {3 * length}"
-        asked = _windows(own, ["item_id", "_c", "_v"], length).withColumnRenamed("at", "q_at").where(literal)
-        asked = asked.select("item_id", "q_at", "h", F.expr(_slots("q_at", length)).alias("q_values"), F.lit(length).alias("length"))
-        usable = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"))
+        literal, words = (f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(c in ({drop}), 0, 1)) * 5 >= {3 * length}" for drop in ("'#number', '#unit', '#name'", "'#number', '#unit'"))
+        asked = _windows(own, ["item_id", "_c", "_x", "_v"], length).withColumnRenamed("at", "q_at").where(f"if(kind = 0, {literal}, {words})")
+        asked = durable(asked.select("item_id", "q_at", "kind", "h", F.expr(_slots("q_at", length, "kind")).alias("q_values"), F.lit(length).alias("length")), "asked")
+        usable = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("templates"))
         few = asked.count() <= BROADCAST_WINDOWS
-        found = _windows(texts, ["k1", "k2"], length).join(F.broadcast(asked) if few else asked, "h").drop("h")
+        found = _windows(texts, ["k1", "k2"], length).withColumnRenamed("kind", "d_kind").join(F.broadcast(asked) if few else asked, "h").drop("h")
         hits = found if hits is None else hits.unionByName(found)
         sizes = usable if sizes is None else sizes.unionByName(usable)
     hits = durable(hits, "hits")
     ids = hits.select("k1", "k2").distinct()
     some = ids.count() <= BROADCAST_WINDOWS
-    held = values(rows.join(F.broadcast(ids) if some else ids, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", "_text")).dropDuplicates(["k1", "k2"]).drop("_c")
-    per = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "at", "q_at", "q_values", "length")).alias("_h"))  # bounded by the document's words
-    made = "transform(_h, h -> named_struct('item_id', h.item_id, 'q_at', h.q_at, 'diagonal', h.at - h.q_at, 'q_values', h.q_values, 'values', array_join(slice(_v, h.at + 1, h.length), '%s')))" % _SEP
+    held = values(rows.join(F.broadcast(ids) if some else ids, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", "_text")).dropDuplicates(["k1", "k2"]).drop("_x")
+    per = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "at", "q_at", "kind", "d_kind", "q_values", "length")).alias("_h"))  # bounded by the document's words
+    made = "transform(_h, h -> named_struct('item_id', h.item_id, 'q_at', h.q_at, 'kind', h.kind, 'diagonal', h.at - h.q_at, 'q_values', h.q_values, 'values', %s))" % _slots("h.at", "h.length", "greatest(h.kind, h.d_kind)")
     hits = held.join(per, ["k1", "k2"]).select("k1", "k2", "doc_id", F.expr(f"inline({made})"))
     key = ["k1", "k2", "item_id", "diagonal"]
     # in one alignment a value of the item meets one value of the document
@@ -113,11 +130,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = hits.where("q_values != ''").select(*key, F.explode(both).alias("p")).select(*key, F.col("p.q").alias("q"), F.col("p.d").alias("d"))
     met = met.groupBy(*key, "q").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     slots = met.groupBy(*key).agg(F.max(F.expr("lo is distinct from hi")).alias("broken"), F.max(F.expr("q is distinct from lo")).alias("changed"))
-    spans = hits.groupBy(*key, "doc_id").agg(F.count_distinct("q_at").alias("met"))
+    spans = hits.groupBy(*key, "doc_id").agg(F.count_distinct("q_at").alias("met"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("by_template"))
     whole = spans.join(slots, key, "left").where("not coalesce(broken, false)")
-    pairs = whole.groupBy("doc_id", "item_id").agg(F.sum("met").alias("n_windows"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
-    sizes = sizes.groupBy("item_id").agg(F.max("item_windows").alias("item_windows"))
-    return pairs.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "item_windows", "changed", F.expr(f"n_windows >= least({LEAST_WINDOWS}, item_windows)").alias("contaminated"))
+    pairs = whole.groupBy("doc_id", "item_id").agg(F.sum("met").alias("n_windows"), F.sum("by_template").alias("by_template"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
+    sizes = sizes.groupBy("item_id").agg(F.max("item_windows").alias("item_windows"), F.max("templates").alias("templates"))
+    enough = f"n_windows >= least({LEAST_WINDOWS}, item_windows) or (templates > 0 and by_template >= least({LEAST_WINDOWS}, templates))"
+    return pairs.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "item_windows", "changed", F.expr(enough).alias("contaminated"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

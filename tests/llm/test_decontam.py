@@ -30,6 +30,14 @@ def test_names_outside_latin(spark):
     assert set(got) == {(0, 100), (1, 101), (2, 102)} and all(r.changed for r in got.values())
 
 
+def test_copies_in_other_case(spark):
+    short = "What did the old baker Anna sell in her shop"
+    texts = [ITEM.upper(), ITEM.title(), ITEM.lower(), "And then he asked\n" + short + ", of all", short.upper(), ITEM.upper().replace("12", "40"), "Question 5\nDays pass in a small town"]
+    got = found(spark, texts, (ITEM, short, "Days pass in a small town"))
+    assert set(got) == {(0, 100), (1, 100), (2, 100), (3, 101), (4, 101), (5, 100), (6, 102)}
+    assert all(r.n_windows == r.item_windows for r in got.values()) and [k for k, r in got.items() if r.changed] == [(5, 100)]
+
+
 def test_short_items_and_nulls(spark):
     got = found(spark, ["why does it rain so", "Well. Why does it rain? So.", None], ["why does it rain", "a b", None, ""])
     assert set(got) == {(0, 100), (1, 100)}
