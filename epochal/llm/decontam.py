@@ -9,11 +9,12 @@ template are not.
 
 Whether a word is a name depends on its case and on the word before, so every window has a second key, in which names are words
 in lower case and only numbers and units are placeholders: copies in capitals, and copies that begin inside a sentence, share
-it. Both kinds of windows count together.
+it. Where numbers and units are more than two words in five, the second key is of the exact words in lower case, values included.
+All windows of a document and item count together.
 
 A document is contaminated by an item if consistent alignments cover ``LEAST_WINDOWS`` of the item's windows, or all where it
-has fewer; for windows met by their template, of those that hold three literal words in five. Items of three to seven words are one window of their own length; shorter items cannot be told from common
-phrases and are left out. Null and empty texts match nothing. Rows that share a doc_id count as one document. Rows whose doc_id is null are searched together
+has fewer; for windows met by their template, of those that hold three literal words in five. Items of three to seven words are one window of their own length. Shorter items cannot be
+told from common phrases inside a text; a document holds one if it has these words and no others. Items without words are left out. Null and empty texts match nothing. Rows that share a doc_id count as one document. Rows whose doc_id is null are searched together
 and appear with a null doc_id.
 """
 
@@ -69,17 +70,27 @@ def values(rows: DataFrame) -> DataFrame:
     return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_x", F.expr("transform(_cv, c -> c.v)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_cv")
 
 
+def _valued(words: str, at: str, length: int) -> str:
+    """Whether numbers and units are more than two words in five of a window; always so in windows below ``LEAST_ITEM``."""
+    if length < LEAST_ITEM:
+        return "true"
+    held = [f"if({words}[{at}] = '#number', 1, 0)", *(f"if({words}[{at} + {k}] in ('#number', '#unit'), 1, 0)" for k in range(1, length))]
+    return f"({' + '.join(held)}) * 5 > {2 * length}"
+
+
 def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
     """Every window of that length under its keys: keys, at, kind, h.
 
-    Kind 0 is the template. Kind 1 takes names as words; it is left out where both are the same. The unit that a window may
-    begin with is a word there, since it is a unit by the word before the window.
+    Kind 0 is the template. Kind 1 takes names as words, or all words where ``_valued`` is true; it is left out where both are
+    the same. The unit that a window may begin with is a word there, since it is a unit by the word before the window.
     """
     template = ", ".join(f"z[i + {k}]" for k in range(length))
     folded = ", ".join(["if(f[i] = '#unit', y[i], f[i])", *(f"f[i + {k}]" for k in range(1, length))])
+    exact = ", ".join(f"y[i + {k}]" for k in range(length))
+    folded = f"if({_valued('f', 'i', length)}, xxhash64('=', {exact}), xxhash64({folded}))"
     # the words are bound once for all windows, and the outer form keeps the optimizer from making the windows twice to filter
     at = f"if(size(z) < {length}, cast(array() as array<int>), sequence(0, size(z) - {length}))"
-    first, second = f"transform(p, i -> xxhash64({template}))", f"transform(p, i -> xxhash64({folded}))"
+    first, second = f"transform(p, i -> xxhash64({template}))", f"transform(p, i -> {folded})"
     both = f"transform(array({first}), a -> concat(a, zip_with(a, {second}, (g, h) -> if(g = h, null, h))))[0]"
     made = "zip_with(_c, _x, (c, x) -> if(c = '#name', x, c))"
     made = f"transform(array(_c), z -> transform(array(_x), y -> transform(array({made}), f -> transform(array({at}), p -> {both})[0])[0])[0])[0]"
@@ -88,33 +99,35 @@ def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 
 def _slots(at: str, length: int | str, kind: str) -> str:
-    """The values behind the placeholders of a window under a kind of key."""
+    """The values behind the placeholders of a window under a kind of key; none for kind 2, exact words."""
     inside = f"transform(slice(_v, {at} + 2, {length} - 1), (v, i) -> if(_c[{at} + 1 + i] = '#name', null, v))"
     folded = f"concat(array(if(_c[{at}] = '#number', _v[{at}], null)), {inside})"
-    return f"array_join(if({kind} = 0, slice(_v, {at} + 1, {length}), {folded}), '{_SEP}')"
+    return f"array_join(case {kind} when 0 then slice(_v, {at} + 1, {length}) when 1 then {folded} else cast(array() as array<string>) end, '{_SEP}')"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document (doc_id) and item (item_id) that share consistent windows.
 
-    n_windows: windows of the item that were met; item_windows: its windows that are asked for; changed: some value behind a
-    placeholder is another one; contaminated: as defined above.
+    n_windows: windows of the item that were met; item_windows: its windows; changed: some value behind a placeholder is another
+    one; contaminated: as defined above.
 
     The pass over all texts makes hashes alone. Values are made in a second pass for the documents that have a hit.
     """
     items = values(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("_text"))
     texts = canonical(rows.drop("doc_id"))
-    short = [r.n for r in items.select(F.size("_c").alias("n")).where(f"n >= {LEAST_ITEM} and n < {WINDOW}").distinct().collect()]  # at most five numbers
+    short = [r.n for r in items.select(F.size("_c").alias("n")).where(f"n >= 1 and n < {WINDOW}").distinct().collect()]  # at most seven numbers
     hits = sizes = None
     for length in [WINDOW, *sorted(short)]:
         own = items if length == WINDOW else items.where(F.size("_c") == length)
-        literal, words = (f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(c in ({drop}), 0, 1)) * 5 >= {3 * length}" for drop in ("'#number', '#unit', '#name'", "'#number', '#unit'"))
-        asked = _windows(own, ["item_id", "_c", "_x", "_v"], length).withColumnRenamed("at", "q_at").where(f"if(kind = 0, {literal}, {words})")
+        literal = f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(startswith(c, '#'), 0, 1)) * 5 >= {3 * length}" if length >= LEAST_ITEM else "false"
+        asked = _windows(own, ["item_id", "_c", "_x", "_v"], length).withColumnRenamed("at", "q_at").where(f"kind = 1 or {literal}")
+        asked = asked.withColumn("kind", F.expr(f"if(kind = 1 and {_valued('_c', 'q_at', length)}, 2, kind)"))
         asked = durable(asked.select("item_id", "q_at", "kind", "h", F.expr(_slots("q_at", length, "kind")).alias("q_values"), F.lit(length).alias("length")), "asked")
         usable = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("templates"))
         few = asked.count() <= BROADCAST_WINDOWS
-        found = _windows(texts, ["k1", "k2"], length).withColumnRenamed("kind", "d_kind").join(F.broadcast(asked) if few else asked, "h").drop("h")
+        held = texts if length >= LEAST_ITEM else texts.where(F.size("_c") == length)
+        found = _windows(held, ["k1", "k2"], length).withColumnRenamed("kind", "d_kind").join(F.broadcast(asked) if few else asked, "h").drop("h")
         hits = found if hits is None else hits.unionByName(found)
         sizes = usable if sizes is None else sizes.unionByName(usable)
     hits = durable(hits, "hits")

@@ -38,6 +38,13 @@ def test_copies_in_other_case(spark):
     assert all(r.n_windows == r.item_windows for r in got.values()) and [k for k, r in got.items() if r.changed] == [(5, 100)]
 
 
+def test_items_of_values(spark):
+    items = ["Compute 12 + 7 - 3 * 9 + 14 - 2 * 8 + 31", "Anna Berta Clara Dora Emil Fritz Gustav Hanna Ida", "1 2 4 8 16 32 64", "Forty two", "Why?"]
+    texts = ["Now compute 12 + 7 - 3 * 9 + 14 - 2 * 8 + 31 at once.", items[1].upper(), "It goes 1 2 4 8 16 32 64 and on.", " forty  TWO.", "why", "it is forty two", "compute 13 + 7 - 3 * 9 + 15 - 2 * 8 + 31", "Why not?"]
+    got = found(spark, texts, items)
+    assert set(got) == {(i, 100 + i) for i in range(5)} and not any(r.changed for r in got.values())
+
+
 def test_short_items_and_nulls(spark):
     got = found(spark, ["why does it rain so", "Well. Why does it rain? So.", None], ["why does it rain", "a b", None, ""])
     assert set(got) == {(0, 100), (1, 100)}
