@@ -14,13 +14,13 @@ All windows of a document and item count together.
 
 A document is contaminated by an item if consistent alignments cover ``LEAST_WINDOWS`` of the item's windows, or all where it
 has fewer; for windows met by their template, of those that hold three literal words in five. Items of three to seven words are one window of their own length. Shorter items cannot be
-told from common phrases inside a text; a document holds one if it has these words and no others. Items without words are left out. Null and empty texts match nothing. Rows that share a doc_id count as one document. Rows whose doc_id is null are searched together
-and appear with a null doc_id.
+told from common phrases inside a text; a document holds one if it has these words and no others. Items without words are left out. Null and empty texts match nothing. Rows that share a doc_id count as one document. Rows whose doc_id is
+null count as one document for each text and appear with a null doc_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import durable, text_of, without
@@ -105,6 +105,15 @@ def _slots(at: str, length: int | str, kind: str) -> str:
     return f"array_join(case {kind} when 0 then slice(_v, {at} + 1, {length}) when 1 then {folded} else cast(array() as array<string>) end, '{_SEP}')"
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _text_key() -> Column:
+    """What tells rows with a null doc_id apart; the same for all others."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64(text_of())).otherwise(F.lit(0).cast("long"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document (doc_id) and item (item_id) that share consistent windows.
 
@@ -113,8 +122,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The pass over all texts makes hashes alone. Values are made in a second pass for the documents that have a hit.
     """
+    return _keyed_matches(docs, benchmark).drop("text_key")
+
+
+def _keyed_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``matches`` with ``text_key``."""
     items = values(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("_text"))
     texts = canonical(rows.drop("doc_id"))
     short = [r.n for r in items.select(F.size("_c").alias("n")).where(f"n >= 1 and n < {WINDOW}").distinct().collect()]  # at most seven numbers
     hits = sizes = None
@@ -145,10 +159,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = met.groupBy(*key).agg(F.max(F.expr("lo is distinct from hi")).alias("broken"), F.max(F.expr("q is distinct from lo")).alias("changed"))
     spans = hits.groupBy(*key, "doc_id").agg(F.count_distinct("q_at").alias("met"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("by_template"))
     whole = spans.join(slots, key, "left").where("not coalesce(broken, false)")
-    pairs = whole.groupBy("doc_id", "item_id").agg(F.sum("met").alias("n_windows"), F.sum("by_template").alias("by_template"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
+    pairs = whole.groupBy("doc_id", F.expr("if(doc_id is null, k2, 0L)").alias("text_key"), "item_id").agg(F.sum("met").alias("n_windows"), F.sum("by_template").alias("by_template"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
     sizes = sizes.groupBy("item_id").agg(F.max("item_windows").alias("item_windows"), F.max("templates").alias("templates"))
     enough = f"n_windows >= least({LEAST_WINDOWS}, item_windows) or (templates > 0 and by_template >= least({LEAST_WINDOWS}, templates))"
-    return pairs.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "item_windows", "changed", F.expr(enough).alias("contaminated"))
+    return pairs.join(sizes, "item_id").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "changed", F.expr(enough).alias("contaminated"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -158,4 +172,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    return without(docs, contaminated(docs, benchmark).where("doc_id is not null"))
+    found = _keyed_matches(docs, benchmark).where("contaminated").select(_id().alias("__id"), F.col("text_key").alias("__text"))
+    return without(docs.withColumns({"__id": _id(), "__text": _text_key()}), found, ["__id", "__text"]).select(*docs.columns)

@@ -1,5 +1,7 @@
 """Benchmark leaks: copies, copies with other values, and texts that only look alike."""
 
+from pyspark.sql import functions as F
+
 from epochal.llm import decontam
 
 from .common import SF, frame, odd_texts
@@ -45,6 +47,17 @@ def test_items_of_values(spark):
     assert set(got) == {(i, 100 + i) for i in range(5)} and not any(r.changed for r in got.values())
 
 
+def test_rows_without_id(spark):
+    w = ITEM.split()
+    texts = [ITEM, "clean", None, " ".join(w[:10]), " ".join(w[8:18])]  # the last two hold three windows each
+    docs = frame(spark, texts).withColumn("doc_id", F.lit(None).cast("long")).unionByName(frame(spark, [ITEM, "clean"]))
+    bench = spark.createDataFrame([(100, ITEM)], "item_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in decontam.contaminated(docs, bench).collect()))) == ["0", "None"]
+    left = decontam.decontaminate(docs, bench)
+    want = [(None, t) for t in texts[1:]] + [(1, "clean")]
+    assert left.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, want))
+
+
 def test_short_items_and_nulls(spark):
     got = found(spark, ["why does it rain so", "Well. Why does it rain? So.", None], ["why does it rain", "a b", None, ""])
     assert set(got) == {(0, 100), (1, 100)}
