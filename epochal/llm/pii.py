@@ -10,8 +10,10 @@ One pass over the documents, no shuffle. Null texts count as empty and have no s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -148,13 +150,17 @@ _DOT = re.compile(_SIGN.format(r"dot|\.|punto|point|punkt") + r"|(?<=[A-Za-z0-9]
 _WORDS = re.compile(_DIGIT, re.I)
 
 
+def _value(word: str) -> str:
+    return _DIGIT_WORDS[word.replace("\u0130", "i").replace("\u0131", "i").lower()]  # both match i where case is ignored
+
+
 def _digits(m: re.Match) -> str:
     words = _WORDS.findall(m.group())
-    return "".join(_DIGIT_WORDS[w.lower()] for w in words) if len(words) > 1 else m.group()
+    return "".join(map(_value, words)) if len(words) > 1 else m.group()
 
 
 def _one_digit(m: re.Match) -> str:
-    return _DIGIT_WORDS[m.group().lower()]
+    return _value(m.group())
 
 
 #: A single spelled digit between digits or dots belongs to the number around it.
@@ -181,14 +187,37 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
     return found
 
 
-#: Rows that can hold a base span; rows that show a disguise. Linear scans without Python per row.
+#: Rows that can hold a base span. A linear scan without Python per row.
 _MAY_HOLD = r"[0-9@]"
-_DISGUISE = (
-    r"[\x{00AD}\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0660}-\x{06F9}\x{0966}-\x{096F}\x{200B}-\x{200F}\x{2010}-\x{2015}\x{2024}\x{2060}\x{2070}-\x{208E}\x{3002}\x{FEFF}\x{FF01}-\x{FF65}\x{1D400}-\x{1D7FF}\x{2460}-\x{24FF}\x{1F100}-\x{1F16F}]"
-    r"|(?i)[(\[{<]\s*(at|@|arroba|arobase|dot|\.|punto|point|punkt)\s*[)\]}>]|\sdot\s"
-    r"|(zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,.-]*(zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])"
-    r"|[0-9][\s,.-]*(zero|oh|one|two|three|four|five|six|seven|eight|nine)|plus\s+[0-9]"
-)
+
+
+def _ranges(code_points: list[int]) -> str:
+    """The inside of a character class of these code points, which are sorted."""
+    out: list[list[int]] = []
+    for c in code_points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+@functools.cache
+def disguise_pattern() -> str:
+    """Rows that show a disguise, as one pattern for a linear scan: it holds wherever a transducer of ``normalise`` can rewrite.
+
+    Its characters are all that ``_plain_char`` changes; white space and letters are those of the transducers' patterns.
+    """
+    other = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    changed = _ranges([c for c in other if _plain_char(chr(c)) != chr(c)])
+    space = "[" + _ranges([c for c in (*range(0x80), *other) if chr(c).isspace()]) + "]"
+    between = space[:-1] + ",.-]*"
+    digit = "(?:" + "|".join(w.replace("i", r"[i\x{130}\x{131}]") for w in _DIGIT_WORDS) + ")"
+    return (
+        rf"[{changed}]"
+        rf"|(?i)[(\[{{<]{space}*(?:at|@|arroba|arobase|dot|\.|punto|po[i\x{{130}}\x{{131}}]nt|punkt){space}*[)\]}}>]|{space}dot{space}"
+        rf"|{digit}{between}(?:{digit}|[0-9])|[0-9]{between}{digit}|[.+]{digit}|plus{space}+(?:[0-9]|{digit})"
+    )
 
 
 def join_spans(spans: list[Span]) -> str:
@@ -198,10 +227,10 @@ def join_spans(spans: list[Span]) -> str:
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
 
 
-def find_spans(text: pa.Array) -> list[tuple[list[Span], list[Span]]]:
-    """Base and disguised spans of each text of an Arrow array without nulls."""
+def find_spans(text: pa.Array, disguise: str) -> list[tuple[list[Span], list[Span]]]:
+    """Base and disguised spans of each text of an Arrow array without nulls; ``disguise`` is the pattern of that name."""
     holds = pc.match_substring_regex(text, _MAY_HOLD).to_numpy(zero_copy_only=False)
-    hides = pc.match_substring_regex(text, _DISGUISE).to_numpy(zero_copy_only=False)
+    hides = pc.match_substring_regex(text, disguise).to_numpy(zero_copy_only=False)
     out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(text)
     for i in np.flatnonzero(holds | hides):
         t = text[i].as_py()
@@ -212,11 +241,12 @@ def find_spans(text: pa.Array) -> list[tuple[list[Span], list[Span]]]:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row, as in ``SCHEMA``, for every row of ``docs`` (doc_id, text). Offsets are code points, ends exclusive."""
+    disguise = disguise_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, (base, more) in zip(batch.column(0).to_pylist(), find_spans(batch.column(1))):
+            for doc, (base, more) in zip(batch.column(0).to_pylist(), find_spans(batch.column(1), disguise)):
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                 rows.append((doc, *counts, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(base + more), len(more)))
             yield pa.RecordBatch.from_arrays(
@@ -243,12 +273,13 @@ def mask_text(text: str) -> str:
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` replaced; all other columns, and texts without any, stay as they are."""
+    disguise = disguise_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
             text = pc.fill_null(batch.column(at), "")
-            hit = pc.or_(pc.match_substring_regex(text, _MAY_HOLD), pc.match_substring_regex(text, _DISGUISE)).to_numpy(zero_copy_only=False)
+            hit = pc.or_(pc.match_substring_regex(text, _MAY_HOLD), pc.match_substring_regex(text, disguise)).to_numpy(zero_copy_only=False)
             if not hit.any():
                 yield batch
                 continue

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -132,6 +134,25 @@ def test_disguises_map_back(text, kind, found):
     assert [text[s:e] for s, k, e in spans if k == kind] == [found]
 
 
+def test_disguises_reach_query_and_redaction(spark):
+    card, signs = "4111{0}1111{0}1111{0}1111", ["\u00a0", "\u202f", *map(chr, range(0x2000, 0x200B)), "\ufe63"]
+    texts = [f"card {card.format(c)} ok" for c in signs] + [f"jane{at}example{dot}com" for at, dot in ("\ufe6b.", "@\ufe52")]
+    texts += ["card " + "".join(chr(zero + int(d)) for d in "4111111111111111") for zero in (0x09E6, 0x0E50, 0x1040)]
+    texts += ["jane\u2028dot\x0bdoe\u2028at\u2028example\u2028dot\u2028com", "call plus one (555) 123-4567", "call +one (555) 123-4567", "one\x0btwo f\u0131ve s\u0130x"]
+    df = frame(spark, texts)
+    got = {r.doc_id: r.n_disguised for r in pii.find_personal_data(df).collect()}
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert got[i] == 1 and "[" in masked[i], (t, got[i], masked[i])
+    assert got[len(texts) - 1] == 0
+
+
+def test_every_changed_character_opens_the_gate():
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    opened = pc.match_substring_regex(pa.array(chars), pii.disguise_pattern()).to_pylist()
+    assert opened == [pii._plain_char(c) != c for c in chars]
+
+
 def test_clean_text_has_no_spans(spark):
     for t in ["meet me at the dot of noon", "one two buckle my shoe", "look at example.com", "Seven of nine at dot"]:
         assert pii.find_disguised(t, pii.find_base(t)) == [], t
