@@ -1,12 +1,13 @@
 """Where windows of fixed length occur again, over all documents: the frame that two operators share.
 
-1. Every text is cut into segments (see ``segments``); a segment is known by its anchor and a hash of its symbols.
+1. Every text is cut into segments (see ``segments``); a segment is known by its anchor and a hash of its symbols, and is of
+   bounded length whatever the text.
 2. Anchors that occur once, and whose gram is in their segment once, drop out. Equal segments become one class with a count: all windows of a class that occurs twice are
    repeats, whatever else there is.
 3. The distinct classes of one anchor are fetched once each and compared by the operator's kernel, many anchors at a time; rows
-   come sorted by anchor, so a task holds a few groups and not its whole partition. Anchors with more than ``HOT`` classes are
-   compared by the hashes of their single windows instead, which are counted before they are shuffled, so no group of any size
-   meets in one task.
+   come sorted by anchor, so a task holds a few groups and not its whole partition. A group of more than ``GROUP_SYMBOLS``
+   symbols is cut further, to its single windows: these are classes themselves, which are counted like those of step 2 and need
+   no comparison. So no group of any size meets in one task.
 4. Repeated starts go back to all members of their class, and from there to the documents.
 
 Rows are told apart by doc_id and a hash of the text; repeated rows are separate occurrences and so repeat each other.
@@ -22,29 +23,53 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .external import Space
 from .segments import cut, gram_hashes
-from .shared import durable, text_of
+from .shared import durable, new_path, text_of
 
-#: Distinct segments of one anchor beyond which its windows are counted by hash; symbols a kernel is given at a time.
-HOT, SHARD_SYMBOLS = 20_000, 4 << 20
+#: Symbols of an anchor's distinct segments beyond which they are cut further; bytes of texts that are cut together.
+GROUP_SYMBOLS, CUT_BYTES = 1 << 20, 1 << 20
 
-Symbols = Callable[[bytes], np.ndarray]
-#: A kernel takes the segments of whole groups, each at least a window long, and gives for each a mask of its repeated starts.
-Kernel = Callable[[list[np.ndarray], int], list[np.ndarray]]
+#: The symbols of texts laid end to end, and where each begins, and the end.
+Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def byte_symbols(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8)
+class Kernel:
+    """Takes the segments of whole groups, each at least a window long, and tells which of their windows occur again."""
 
+    #: Symbols it is given at a time, but for the rest of the last group.
+    shard_symbols = 2 << 20
 
-def word_symbols(raw: bytes) -> np.ndarray:
+    def __init__(self, window: int, space: Space):
+        self.window, self.space = window, space
+
+    def add(self, symbols: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers of segments, in the order in which they were added, with starts that are repeated. A segment can come again."""
+        raise NotImplementedError
+
+
+def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts without nulls."""
+    raw = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8) if len(raw) and raw.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words as 64-bit hashes; bytes split at exactly the six white characters."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in raw.split()], dtype=np.uint64)
+    h64 = xxhash.xxh64_intdigest
+    words = [[h64(w) for w in t.as_py().encode().split()] for t in texts]
+    return np.array([w for ws in words for w in ws], dtype=np.uint64), np.cumsum([0, *map(len, words)])
 
 
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2]
+def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending starts as ranges: first ones and ends."""
+    gap = np.flatnonzero(np.diff(starts) != 1)
+    return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -56,88 +81,109 @@ def _batch(columns: list, types: list[pa.DataType], names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, kernel: Kernel, hot: int = HOT) -> DataFrame:
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have about ``most`` bytes, a row at least."""
+    sizes = np.cumsum([0, *(len(t.as_buffer()) for t in batch.column(column).cast(pa.binary()))])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + most, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, kernel: type[Kernel], group_symbols: int, memory: int = 64 << 20) -> DataFrame:
     """k1, k2 and spans (an array of a, b: symbols [a, b) are covered by repeated windows) of ``rows`` as ``keyed`` gives them."""
     i64, i32 = pa.int64(), pa.int32()
+    spill = new_path(rows.sparkSession, "shards")
 
     def make_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = symbols(text.as_py().encode())
-                first, end, anchor, inner = cut(s, window, gram)
-                raw, z = memoryview(s.tobytes()), s.itemsize
-                out[0] += [k1] * len(first)
-                out[1] += [k2] * len(first)
-                places = list(zip(first.tolist(), end.tolist()))
-                out[2] += [a for a, _ in places]
-                out[3] += [b for _, b in places]
-                out[4] += anchor.view(np.int64).tolist()
-                out[5] += [xxhash.xxh3_64_intdigest(raw[a * z : (b - 1 + window) * z]) for a, b in places]
-                out[6] += inner.tolist()
-            out[5] = np.array(out[5], dtype=np.uint64).view(np.int64)
-            yield _batch(out, [i64, i64, i32, i32, i64, i64, pa.bool_()], ["k1", "k2", "a", "b", "anchor", "content", "inner"])
+        for whole in batches:
+            for batch in _slices(whole, 2, CUT_BYTES):
+                s, offsets = symbols(batch.column(2))
+                a, b, anchor, inner = cut(s, offsets, window, gram)
+                doc = np.searchsorted(offsets, a, side="right") - 1
+                raw, z = memoryview(s).cast("B"), s.itemsize
+                h64 = xxhash.xxh3_64_intdigest
+                content = np.array([h64(raw[x:y]) for x, y in zip((a * z).tolist(), ((b - 1 + window) * z).tolist())], dtype=np.uint64).view(np.int64)
+                at = offsets[doc] if len(doc) else doc
+                yield _batch([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), (a - at).astype(np.int32), (b - at).astype(np.int32), anchor, content, inner], [i64, i64, i32, i32, i64, i64, pa.bool_()], ["k1", "k2", "a", "b", "anchor", "content", "inner"])
 
     made = durable(rows.select("k1", "k2", "text").mapInArrow(make_segments, "k1 long, k2 long, a int, b int, anchor long, content long, inner boolean"), "segments")
     # written out, so that the joins below are between plain shuffles and adaptive execution can split a hot anchor
     again = durable(made.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor"), "anchors")
     found = durable(made.join(again, "anchor", "left_semi"), "shared-segments")
     classes = durable(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("k1", "k2", "a", "b")).alias("one")), "classes")
-    groups = durable(classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").drop("inner"), "groups")
-    asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", "m")
-    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "anchor", "content", "m")).alias("parts"))
+    groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner"), F.sum(F.expr(f"one.b - one.a + {window - 1}")).alias("size"))
+    groups = durable(groups.where("m > 1 or inner").select("anchor", (F.col("size") > group_symbols).alias("large")), "groups")
+    asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", "large")
+    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "anchor", "content", "large")).alias("parts"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, parts in zip(batch.column(0), batch.column(1)):
-                s = symbols(text.as_py().encode())
-                p = parts.as_py()
-                raw, z = memoryview(s.tobytes()), s.itemsize
-                yield _batch([[x["anchor"] for x in p], [x["content"] for x in p], [x["m"] for x in p], [bytes(raw[x["a"] * z : (x["b"] - 1 + window) * z]) for x in p]], [i64, i64, i64, pa.binary()], ["anchor", "content", "m", "symbols"])
-
-    fetched = durable(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "parts").mapInArrow(fetch, "anchor long, content long, m long, symbols binary"), "contents")
-    kind = symbols(b"").dtype
+        for whole in batches:
+            for batch in _slices(whole, 0, CUT_BYTES):
+                s, offsets = symbols(batch.column(0))
+                raw, z = memoryview(s).cast("B"), s.itemsize
+                parts = batch.column(1)
+                doc = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
+                a, b, anchor, content, large = parts.flatten().flatten()
+                first, end = (offsets[doc] + a.to_numpy()) * z, (offsets[doc] + b.to_numpy() - 1 + window) * z
+                for at in range(0, len(doc), 2048):
+                    to = min(at + 2048, len(doc))
+                    held = pa.array([raw[x:y] for x, y in zip(first[at:to].tolist(), end[at:to].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([anchor[at:to], content[at:to], large[at:to], held], names=["anchor", "content", "large", "symbols"])
+
+    fetched = durable(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "parts").mapInArrow(fetch, "anchor long, content long, large boolean, symbols binary"), "contents")
+    kind = symbols(pa.array([], pa.string()))[0].dtype
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
-        size, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(4)]
-            for (anchor, content, _), mask in zip(held, kernel([s for _, _, s in held], window)):
-                a, b = _runs(mask)
-                for column, values in zip(out, ([anchor] * len(a), [content] * len(a), a.tolist(), b.tolist())):
+        space = Space(spill, memory)
+        held: list[tuple[int, int]] = []
+        own, size, last = kernel(window, space), 0, None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[], [], [], []]
+            for k, starts in own.repeats():
+                x, y = _runs(starts)
+                for column, values in zip(out, ([held[k][0]] * len(x), [held[k][1]] * len(x), x.tolist(), y.tolist())):
                     column += values
-            held.clear()
-            return _batch(out, [i64, i64, i32, i32], ["anchor", "content", "x", "y"])
-
-        for batch in batches:
-            for anchor, content, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if last == (anchor, content):
-                    continue  # a repeated row brought its class along again
-                if size >= SHARD_SYMBOLS and last is not None and last[0] != anchor:
-                    yield flush()
-                    size = 0
-                last = (anchor, content)
-                held.append((anchor, content, np.frombuffer(raw, dtype=kind)))
-                size += len(raw) // kind.itemsize
-        if held:
-            yield flush()
-
-    near = fetched.where(F.col("m") <= hot).select("anchor", "content", "symbols").repartition("anchor").sortWithinPartitions("anchor", "content")
+                if len(out[0]) > 10_000:
+                    yield _batch(out, [i64, i64, i32, i32], ["anchor", "content", "x", "y"])
+                    out = [[], [], [], []]
+            yield _batch(out, [i64, i64, i32, i32], ["anchor", "content", "x", "y"])
+
+        try:
+            for batch in batches:
+                for anchor, content, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if last == (anchor, content):
+                        continue  # a repeated row brought its class along again
+                    if size >= own.shard_symbols and last[0] != anchor:
+                        yield from results()
+                        held, own, size = [], kernel(window, space), 0
+                    last = (anchor, content)
+                    s = np.frombuffer(raw.as_buffer(), dtype=kind)
+                    own.add(s)
+                    held.append(last)
+                    size += len(s)
+            if held:
+                yield from results()
+        finally:
+            space.close()
+
+    near = fetched.where("not large").select("anchor", "content", "symbols").repartition("anchor").sortWithinPartitions("anchor", "content")
     partial = near.mapInArrow(compare, "anchor long, content long, x int, y int")
 
     def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(raw) // kind.itemsize - window + 1
-                z = kind.itemsize
+            for anchor, content, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                raw, z = memoryview(raw.as_buffer()), kind.itemsize
+                n = len(raw) // z - window + 1
                 h = [xxhash.xxh3_128_digest(raw[i * z : (i + window) * z]) for i in range(n)]
                 yield _batch([[anchor] * n, [content] * n, range(n), h], [i64, i64, i32, pa.binary()], ["anchor", "content", "x", "h"])
 
-    hot_windows = fetched.where(F.col("m") > hot).select("anchor", "content", "symbols").dropDuplicates(["anchor", "content"]).mapInArrow(single_windows, "anchor long, content long, x int, h binary")
-    twice = hot_windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    counted = hot_windows.join(twice, "h", "left_semi").select("anchor", "content", "x", (F.col("x") + 1).alias("y"))
+    single = fetched.where("large").select("anchor", "content", "symbols").dropDuplicates(["anchor", "content"]).mapInArrow(single_windows, "anchor long, content long, x int, h binary")
+    single = durable(single, "windows")
+    twice = durable(single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-windows")
+    counted = single.join(twice, "h", "left_semi").select("anchor", "content", "x", (F.col("x") + 1).alias("y"))
     whole = classes.where("n > 1").select("anchor", "content", F.lit(0).alias("x"), (F.col("one.b") - F.col("one.a")).alias("y"))
     ranges = whole.unionByName(partial).unionByName(counted)
     spans = found.join(ranges, ["anchor", "content"]).select("k1", "k2", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y") - 1 + window).alias("b"))
@@ -153,10 +199,3 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
-
-
-def window_keys(s: np.ndarray, window: int) -> np.ndarray:
-    """A hash of each window, of any length, from two overlapping power-of-two grams."""
-    gram = 1 << (window.bit_length() - 1)
-    h = gram_hashes(s, gram)
-    return h[: len(s) - window + 1] * np.uint64(3) + h[window - gram :]

@@ -2,9 +2,12 @@
 
 The segments that share an anchor (see ``repeats``) form reference blocks. A block is indexed by the order of its suffixes, so
 the longest match of any position with another place of the block is found beside it in that order. Every segment is factored
-greedily against its block: a factor is the longest match at the current word. A factor as long as a window or longer makes
-its words repeats; the windows that cross the end of a factor are checked one after the other before the parse goes on, since
-another place of the block may hold them.
+greedily against its block: a factor is the longest match at the current word, with the place of its source, and the parse goes
+on behind it; a word met nowhere else is a factor of its own.
+
+All windows inside a factor of at least a window are repeats. A repeated window that lies inside no factor crosses one boundary
+and not two: the factor that begins inside it reaches its end or further, being the longest match. So besides long factors only
+boundaries between two factors that are a window long together are checked, window by window, against the index.
 """
 
 from __future__ import annotations
@@ -16,93 +19,114 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, keyed, merged, repeated_spans, word_symbols
+from .repeats import Kernel, keyed, merged, repeated_spans, word_symbols
 
+#: Words of an anchor's distinct segments beyond which they are cut to single windows.
+GROUP_WORDS = 1 << 17
 
-class ReferenceBlock:
-    """Segments laid end to end, with the length of the longest match of each position elsewhere in the block.
 
-    Matches end with their segment. Lengths are exact up to ``depth`` and at least that beyond.
-    """
+class ReferenceBlock:
+    """Segments laid end to end, with the longest match of each position elsewhere in the block. Matches end with their segment."""
 
-    def __init__(self, segments: list[np.ndarray], depth: int):
+    def __init__(self, segments: list[np.ndarray]):
         sizes = np.array([len(s) for s in segments])
         self.begin = np.cumsum(sizes) - sizes
+        self.end = self.begin + sizes
         text = np.concatenate(segments)
+        left = np.repeat(self.end, sizes) - np.arange(len(text))  # words up to the end of the segment
         _, rank = np.unique(text, return_inverse=True)
         rank = rank.astype(np.int64) + 1
-        left = np.repeat(self.begin + sizes, sizes) - np.arange(len(text))  # words up to the end of the segment
-        levels, step = [rank], 1
-        while step * 2 <= depth:
-            rank = self._pairs(rank, step, left)
-            levels.append(rank)
+        levels, step = [rank.astype(np.int32)], 1
+        while step < sizes.max() and rank.max() < len(rank):
+            ahead = np.zeros_like(rank)
+            ahead[:-step] = rank[step:]
+            ahead[left <= step] = 0
+            _, rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)
+            rank = rank.astype(np.int64) + 1
+            levels.append(rank.astype(np.int32))
             step *= 2
-        final = self._pairs(rank, depth - step, left, step) if depth > step else rank
-        order = np.argsort(final, kind="stable")
-        self.longest = np.zeros(len(text), dtype=np.int64)
+        order = np.argsort(rank, kind="stable")
         a, b = order[:-1], order[1:]
         common = np.zeros(len(a), dtype=np.int64)
-        whole = (final[a] == final[b]) & (left[a] >= depth) & (left[b] >= depth)
         for level in range(len(levels) - 1, -1, -1):  # greedy steps of halving length give the common prefix
             width = 1 << level
-            i, j = a + common, b + common
-            fits = (left[a] - common >= width) & (left[b] - common >= width)
-            i, j = np.minimum(i, len(text) - 1), np.minimum(j, len(text) - 1)
-            common += np.where(fits & (levels[level][i] == levels[level][j]), width, 0)
-        common = np.where(whole, depth, np.minimum(common, depth))
-        np.maximum.at(self.longest, a, common)
-        np.maximum.at(self.longest, b, common)
-
-    @staticmethod
-    def _pairs(rank: np.ndarray, step: int, left: np.ndarray, width: int | None = None) -> np.ndarray:
-        """Ranks of runs of ``width + step`` words from ranks of runs of ``width``, the second ``step`` later; 0 past the end."""
-        width = step if width is None else width
-        ahead = np.zeros_like(rank)
-        ahead[: len(rank) - step] = rank[step:]
-        ahead[left <= step] = 0
-        key = rank * (len(rank) + 2) + ahead
-        _, new = np.unique(key, return_inverse=True)
-        return new.astype(np.int64) + 1
-
-
-def factors(longest: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """The greedy parse of one segment: start and length of each factor of at least a window, boundaries checked."""
-    at, n = 0, len(longest)
-    long_enough = np.flatnonzero(longest >= window)
-    k = 0
-    while k < len(long_enough):
-        at = int(long_enough[k])
-        length = window
-        while at + length - window + 1 < n and longest[at + length - window + 1] >= window:
-            length += 1  # the next window, across the end of the factor so far, is met somewhere too
-        yield at, length
-        k = int(np.searchsorted(long_enough, at + length - window + 1))
-
-
-def repeated_starts(segments: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each segment, which of its windows occur again in any of them."""
-    block = ReferenceBlock(segments, window)
-    out = []
-    for b, s in zip(block.begin, segments):
-        longest = block.longest[b : b + len(s)]
-        mask = np.zeros(len(s) - window + 1, dtype=bool)
-        for start, length in factors(longest[: len(mask)], window):
-            mask[start : start + length - window + 1] = True
-        out.append(mask)
-    return out
+            fits = np.flatnonzero((left[a] - common >= width) & (left[b] - common >= width))
+            same = fits[levels[level][a[fits] + common[fits]] == levels[level][b[fits] + common[fits]]]
+            common[same] += width
+        self.longest = np.zeros(len(text), dtype=np.int64)
+        self.source = np.full(len(text), -1, dtype=np.int64)
+        self.longest[b], self.source[b] = common, np.where(common > 0, a, -1)
+        better = common > self.longest[a]
+        self.longest[a[better]], self.source[a[better]] = common[better], b[better]
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, source (-1 for a word met nowhere else) and length of each factor, by start; all segments are parsed in step."""
+        at, found = self.begin.copy(), []
+        live = np.flatnonzero(at < self.end)
+        while len(live):
+            p = at[live]
+            found.append(p)
+            at[live] = p + np.maximum(self.longest[p], 1)
+            live = live[at[live] < self.end[live]]
+        start = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return start, self.source[start], np.maximum(self.longest[start], 1)
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges low..high, both ends included; empty where high is less."""
+    n = np.maximum(high - low + 1, 0)
+    return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def inside(start: np.ndarray, source: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows inside factors that have a source."""
+    met = source >= 0
+    return _spread(start[met], start[met] + length[met] - window)
+
+
+def across(block: ReferenceBlock, start: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """Starts of repeated windows that cross a boundary between two factors which are a window long together."""
+    same = np.append(np.diff(np.searchsorted(block.begin, start, side="right")) == 0, False) if len(start) else np.zeros(0, dtype=bool)
+    i = np.flatnonzero(same)
+    i = i[length[i] + length[i + 1] >= window]
+    border = start[i + 1]
+    asked = _spread(np.maximum(start[i] + 1, border - window + 1), np.minimum(border - 1, border + length[i + 1] - window))
+    return asked[block.longest[asked] >= window]
+
+
+class FactorKernel(Kernel):
+    """Which windows of a block's segments of words occur again in it."""
+
+    shard_symbols = 1 << 19
+
+    def __init__(self, window: int, space):
+        super().__init__(window, space)
+        self.segments: list[np.ndarray] = []
+
+    def add(self, symbols: np.ndarray) -> None:
+        self.segments.append(symbols)
+
+    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
+        block = ReferenceBlock(self.segments)
+        start, source, length = block.factors()
+        hit = np.unique(np.append(inside(start, source, length, self.window), across(block, start, length, self.window)))
+        segment = np.searchsorted(block.begin, hit, side="right") - 1
+        for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(segment)) + 1) if len(hit) else ():
+            yield int(segment[part[0]]), hit[part] - block.begin[segment[part[0]]]
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 35, gram: int = 8, hot: int = HOT) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 35, gram: int = 8, group_words: int = GROUP_WORDS) -> DataFrame:
     """One row, as in ``SCHEMA``, for every row of ``docs`` (doc_id, text): words covered by a repeated window are removed.
 
     Null texts have no words. Repeats are judged on the texts as they are and never cross documents; a window that occurs
-    twice in one document is a repeat. Repeated rows repeat each other.
+    twice in one document is a repeat. Repeated rows repeat each other; rows whose doc_id is null take part. Texts of any length
+    are cut into pieces of bounded length before they meet others. Other columns of ``docs`` are not read, whatever their names.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, word_symbols, window, gram, repeated_starts, hot)
+    spans = repeated_spans(rows, word_symbols, window, gram, FactorKernel, group_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,16 +44,32 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def cut(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start, end of starts (exclusive) and anchor of each segment of one sequence, and whether its anchor's gram is
-    there more than once: only then can two windows of one segment be equal."""
+#: Places below which two equal grams of one window are told apart by the low bits of their keys.
+_PLACES = np.uint64(0xFFF)
+#: Starts of a segment beyond which it is cut, so that texts of one letter become bounded pieces too.
+PIECE = 1024
+
+
+def cut(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, end of starts (exclusive) and anchor of each segment of many sequences laid end to end, and whether its
+    anchor's gram is there more than once: only then can two windows of one segment be equal. ``offsets`` are where the
+    sequences begin, and the end."""
     if len(symbols) < window:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64), none.astype(bool)
-    hashes = gram_hashes(symbols, gram)
+        return none, none, none, none.astype(bool)
+    hashes = gram_hashes(symbols, gram) & ~_PLACES
+    place = np.arange(len(hashes), dtype=np.uint64) & _PLACES
     reach = window - gram + 1
-    least = sliding_minimum(hashes, reach)
-    first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
-    end, anchor = np.append(first[1:], len(least)), least[first]
-    inner = np.array([np.count_nonzero(hashes[a : b + reach - 1] == h) > 1 for a, b, h in zip(first.tolist(), end.tolist(), anchor)])
-    return first, end, anchor, inner
+    left = sliding_minimum(hashes | place, reach)  # the leftmost of the least, then the rightmost
+    right = sliding_minimum(hashes | (_PLACES - place), reach) if reach > 1 else hashes | (_PLACES - place)
+    anchor = left & ~_PLACES
+    whole = np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)] - np.arange(len(anchor)) >= window
+    change = np.append(True, (anchor[1:] != anchor[:-1]) | ~whole[:-1])
+    first = np.flatnonzero(whole & change)
+    end = np.flatnonzero(whole & np.append(change[1:] | ~whole[1:], True)) + 1
+    pieces = -(-(end - first) // PIECE)
+    of = np.repeat(np.arange(len(first)), pieces)
+    a = first[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    b = np.minimum(a + PIECE, end[of])
+    inner = (left[a] & _PLACES) != _PLACES - (right[b - 1] & _PLACES)
+    return a, b, anchor[a].view(np.int64), inner

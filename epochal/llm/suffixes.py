@@ -1,206 +1,337 @@
 """Byte-level removal of long repeats through suffix sorting by external induction.
 
-The segments that share an anchor (see ``repeats``) form shards, whose suffixes are sorted by induction: the starts of rising
-runs (S* positions) are put in order, named and ranked, and every other suffix follows from its successor. A falling suffix is
-reached from its smaller successor while the queue is read upwards, a rising one from its larger successor while it is read
-downwards. The priority queue has a bucket per first symbol, takes tuples in batches and writes buckets to disk when it holds
-more than its share of memory. Named S* positions are ranked by doubling, only as deep as a window reaches. Neighbours in the
-final order carry the length of their common prefix, up to the window; a start with a neighbour that shares a whole window is
-a repeat.
+The segments that share an anchor (see ``repeats``) form shards, whose suffixes are sorted by recursive induction. The starts of
+rising runs (S* positions) are brought in order; every other suffix follows from its successor: a falling suffix is reached from
+its smaller successor while a priority queue is read upwards, a rising one from its larger successor while one is read
+downwards. What the queue carries is a tuple per suffix: its position, the symbols before it, so that the text is not asked at
+each step, and the length of the prefix it shares with the suffix before it under its first symbol. That length is one more than
+the least of the lengths between the two successors, which a running minimum by last push gives.
+
+S* positions are ordered the same way: a first induction from unordered S* positions sorts the pieces between them, equal pieces
+get equal names, and the sequence of names is sorted by recursion, as far as a window reaches. Names that fit in memory are
+sorted by doubling, which ends the recursion.
+
+Text, names and queues move to files beyond the shard's share of memory (see ``external``); nothing but minima by symbol and
+the names at the end of the recursion must fit. Neighbours in the final order whose common prefix reaches the window are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, byte_symbols, keyed, merged, repeated_spans
+from .external import BucketQueue, Space, Tape
+from .repeats import GROUP_SYMBOLS, Kernel, byte_symbols, keyed, merged, repeated_spans
 
-#: Positions that the queue keeps in memory.
-QUEUE_POSITIONS = 8 << 20
 _SEPARATOR = 1  # symbols: 0 ends the shard, 1 ends a segment, bytes follow
+#: Bytes of memory for each name that is sorted without further recursion.
+_NAME_BYTES = 48
+
+Batch = tuple[np.ndarray, np.ndarray]  # positions in descending order of suffixes, lengths of the prefix shared with the one before
+
+
+def range_minima(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of x[low..high], both ends included, for each pair."""
+    if not len(low):
+        return np.zeros(0, dtype=x.dtype)
+    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    out = np.empty(len(low), dtype=x.dtype)
+    table = x
+    for k in range(int(level.max()) + 1):
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[:-half], table[half:])
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+    return out
+
+
+class Minima:
+    """Of a stream of lengths of at most ``most``: the least since a symbol was last pushed."""
+
+    def __init__(self, symbols: int, most: int):
+        self.most, self.n = most, 0
+        self.last = np.full(symbols, -1, dtype=np.int64)  # place of the last push by symbol
+        self.below = np.full(most + 1, -1, dtype=np.int64)  # the last place of a length of at most this
+
+    def push(self, lengths: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pushes at ascending places ``at`` of a batch: their order by symbol, and the least length since the symbol's last push."""
+        order = np.argsort(symbols, kind="stable")
+        s, i = symbols[order], at[order]
+        out = np.empty(len(s), dtype=lengths.dtype)
+        if len(s):
+            first = np.append(True, s[1:] != s[:-1])
+            again = np.flatnonzero(~first)
+            out[again] = range_minima(lengths, i[again - 1] + 1, i[again])
+            head = np.flatnonzero(first)
+            older = np.searchsorted(self.below, self.last[s[head]] + 1)
+            out[head] = np.minimum(np.minimum(older, self.most), np.minimum.accumulate(lengths)[i[head]])
+            tail = np.append(head[1:], len(s)) - 1
+            self.last[s[tail]] = self.n + i[tail]
+        seen = np.full(self.most + 1, -1, dtype=np.int64)
+        seen[lengths] = self.n + np.arange(len(lengths))
+        np.maximum(self.below, np.maximum.accumulate(seen), out=self.below)
+        self.n += len(lengths)
+        return order, out
+
+
+class Sorter:
+    """Orders the suffixes of a tape of symbols below ``symbols``, whose last is 0 and the only one, as far as ``reach`` symbols decide."""
+
+    def __init__(self, text: Tape, symbols: int, reach: int, space: Space):
+        self.text, self.n, self.symbols, self.reach, self.space = text, text.n, symbols, reach, space
+        self.width = max(1, (symbols - 1).bit_length())
+        self.carried = 63 // self.width
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """The symbols before each position, the nearest lowest, under a bit that marks the end."""
+        out = np.ones(len(at), dtype=np.uint64)
+        for k in range(self.carried, 0, -1):
+            there = np.flatnonzero(at >= k)
+            out[there] = (out[there] << np.uint64(self.width)) | self.text.gather(at[there] - k).astype(np.uint64)
+        return out
+
+    def common(self, p: np.ndarray, q: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How many symbols two suffixes share, at most ``reach``, where ``known`` are."""
+        known = np.minimum(known, self.reach)
+        open_ = np.flatnonzero(known < self.reach)
+        while len(open_):
+            same = self.text.gather(p[open_] + known[open_]) == self.text.gather(q[open_] + known[open_])
+            open_ = open_[same]
+            known[open_] += 1
+            open_ = open_[known[open_] < self.reach]
+        return known
 
+    def stars(self) -> Tape:
+        """S* positions in the order of the text, the last symbol among them."""
+        found, queue = Tape(self.space, "i8"), BucketQueue(self.space)
+        end, after, rises = self.n, -1, True  # the symbol after the block and whether its suffix rises
+        while end > 0:
+            start = max(0, end - self.space.chunk)
+            x = self.text.read(max(0, start - 1), end).astype(np.int64)
+            own = x[1:] if start else x
+            change = np.append(np.flatnonzero(own[1:] != own[:-1]), len(own) - 1)
+            ahead = np.append(own[change[:-1] + 1], after)
+            up = ahead > own[change]
+            up[-1] = True if end == self.n else (rises if after == own[-1] else after > own[-1])
+            up = np.repeat(up, np.diff(np.append(-1, change)))
+            falls = x[:-1] > x[1:]  # the symbol before a rising position is greater: its suffix falls
+            star = np.flatnonzero(up[-len(falls) :] & falls) + (start if start else 1) if len(falls) else np.zeros(0, dtype=np.int64)
+            queue.push(np.zeros(len(star), dtype=np.int64), star.astype(np.int64)[::-1])
+            end, after, rises = start, own[0], bool(up[0])
+        while (rows := queue.take(0, last=True)) is not None:
+            found.append(rows[0][::-1])
+        return found.finish()
 
-class BucketQueue:
-    """A monotone priority queue of positions by first symbol; the order of arrival is kept within a symbol."""
-
-    def __init__(self, folder: str, most: int = QUEUE_POSITIONS):
-        self.folder, self.most, self.held = folder, most, 0
-        self.parts: dict[int, list[np.ndarray]] = {}
-        self.spilled: dict[int, str] = {}
-
-    def push(self, symbol: np.ndarray, position: np.ndarray) -> None:
-        if not len(position):
-            return
-        order = np.argsort(symbol, kind="stable")
-        symbol, position = symbol[order], position[order]
-        edge = np.flatnonzero(np.diff(symbol)) + 1
-        for c, p in zip(symbol[np.append(0, edge)].tolist(), np.split(position, edge)):
-            self.parts.setdefault(c, []).append(p)
-        self.held += len(position)
-        while self.held > self.most:
-            c = max(self.parts, key=lambda k: sum(map(len, self.parts[k])))
-            path = self.spilled.setdefault(c, os.path.join(self.folder, f"{id(self)}-{c}"))
-            with open(path, "ab") as f:
-                for p in self.parts.pop(c):
-                    f.write(p.tobytes())
-                    self.held -= len(p)
-
-    def pop(self, c: int) -> np.ndarray:
-        parts = self.parts.pop(c, [])
-        self.held -= sum(map(len, parts))
-        if c in self.spilled:
-            path = self.spilled.pop(c)
-            parts.insert(0, np.fromfile(path, dtype=np.int32))
-            os.remove(path)
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-
-
-def rising(x: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than their successor. The last symbol is the least and counts as rising."""
-    change = np.append(np.flatnonzero(x[1:] != x[:-1]), len(x) - 1)
-    up = np.append(x[change[:-1] + 1] > x[change[:-1]], True)
-    return np.repeat(up, np.diff(np.append(-1, change)))
-
-
-def induce(x: np.ndarray, up: np.ndarray, stars: np.ndarray, folder: str) -> np.ndarray:
-    """All positions in order, from the S* positions in order (those of one first symbol among themselves)."""
-    symbols = np.unique(x)
-    queue = BucketQueue(folder)
-    seeds = BucketQueue(folder)
-    seeds.push(x[stars], stars)
-    falling: dict[int, np.ndarray] = {}
-    for c in symbols.tolist():
-        done = []
-        now = queue.pop(c)
-        while len(now):
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[~up[before]]
-            sym = x[before]
-            queue.push(sym[sym > c], before[sym > c])
-            now = before[sym == c]
-        falling[c] = np.concatenate(done) if done else np.zeros(0, dtype=np.int32)
-        star = seeds.pop(c)
-        before = star[star > 0] - 1
-        queue.push(x[before], before)
-    out: list[np.ndarray] = []
-    queue = BucketQueue(folder)
-    for c in symbols[::-1].tolist():
-        now = queue.pop(c)
-        if c == x[-1]:
-            now = np.array([len(x) - 1], dtype=np.int32)
-        while len(now):
-            out.append(now)
-            before = now[now > 0] - 1
-            before = before[up[before]]
-            sym = x[before]
-            queue.push(sym[sym < c], before[sym < c])
-            now = before[sym == c]
-        fall = falling.pop(c)[::-1]
-        out.append(fall)
-        before = fall[fall > 0] - 1
-        before = before[up[before]]
-        queue.push(x[before], before)
-    return np.concatenate(out)[::-1]
-
-
-def _rank_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a sequence of names as far as ``depth`` names reach."""
+    def induce(self, seeds: BucketQueue, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All suffixes from ordered ``seeds`` (S* positions by first symbol): positions, shared lengths and whether a position is
+        S*, in descending order. Not ``exact``: lengths are 1 or 0, whether the pieces through the next S* are equal."""
+        most = self.reach if exact else 1
+        mask = np.uint64((1 << self.width) - 1)
+        queue, falling = BucketQueue(self.space), BucketQueue(self.space, down=True)
+
+        def send(minima: Minima, at: np.ndarray, before: np.ndarray, shared: np.ndarray, go: np.ndarray) -> None:
+            place = np.flatnonzero(go)
+            sym = (before[place] & mask).astype(np.int64)
+            order, least = minima.push(shared, place, sym)
+            place = place[order]
+            rest = before[place] >> np.uint64(self.width)
+            nxt = at[place] - 1
+            empty = np.flatnonzero((rest == 1) & (nxt > 0))
+            rest[empty] = self.before(nxt[empty])
+            queue.push(sym[order], nxt, rest, np.minimum(least + 1, most).astype(np.uint16) if exact else least)
+
+        def border(p: int, q: int) -> int:
+            return int(self.common(np.array([p]), np.array([q]), np.array([1]))[0]) if exact else 0
+
+        minima = Minima(self.symbols, most)
+        for c in _keys(queue, seeds):
+            lowest = None
+            while (rows := queue.take(c)) is not None:
+                at, before, shared = rows[0], rows[1], rows[2].copy()
+                if lowest is None:
+                    shared[0] = 0
+                lowest = int(at[-1])
+                falling.push(np.full(len(at), c), at, before, shared)
+                send(minima, at, before, shared, (at > 0) & ((before & mask) >= np.uint64(c)))
+            begun = False
+            while (rows := seeds.take(c, last=True)) is not None:
+                at, before, shared = (x[::-1].copy() for x in rows)
+                if not begun:
+                    shared[0] = 0 if lowest is None else border(lowest, int(at[0]))
+                    begun = True
+                send(minima, at, before, shared, at > 0)
+        queue, minima = BucketQueue(self.space, down=True), Minima(self.symbols, most)
+        for c in _keys(queue, falling):
+            last = None
+            while (rows := queue.take(c)) is not None:
+                at, before, shared = rows[0], rows[1], rows[2].copy()
+                if last is None:
+                    shared[0] = 0
+                last = int(at[-1])
+                yield at, shared, (at > 0) & ((before & mask) > np.uint64(c))
+                send(minima, at, before, shared, (at > 0) & ((before & mask) <= np.uint64(c)))
+            below = None
+            while (rows := falling.take(c, last=True)) is not None:
+                at, before, own = (x[::-1] for x in rows)
+                if below is None:
+                    below = 0 if last is None else border(last, int(at[0]))
+                shared = np.append(np.uint16(below), own[:-1])
+                below = int(own[-1])
+                yield at, shared, np.zeros(len(at), dtype=bool)
+                send(minima, at, before, shared, (at > 0) & ((before & mask) < np.uint64(c)))
+        yield np.array([self.n - 1]), np.zeros(1, dtype=np.uint16), np.ones(1, dtype=bool)
+
+    def order(self) -> Iterator[Batch]:
+        """All suffixes in descending order."""
+        stars = self.stars()
+        seeds = BucketQueue(self.space)
+        for a in range(0, stars.n, self.space.chunk):
+            at = stars.read(a, a + self.space.chunk)
+            self._seed(seeds, at, np.ones(len(at), dtype=np.uint16))
+        names, count = self._names(self.induce(seeds, False), stars.n)
+        if stars.n * _NAME_BYTES <= self.space.memory:
+            ranked = order_names(names.read(0, names.n), self.reach // 2 + 2, self.space.chunk)
+        else:
+            ranked = Sorter(names, count, self.reach // 2 + 2, self.space).order()
+        seeds = BucketQueue(self.space)
+        held: np.ndarray | None = None
+        for index, shared in ranked:
+            at = stars.gather(index)
+            past = stars.gather(np.minimum(index + shared, stars.n - 1)) - at  # symbols of the equal names
+            upper = at[:-1] if held is None else np.append(held, at[:-1])
+            lower, past = (at[1:], past[1:]) if held is None else (at, past)
+            # a length belongs to the greater of two neighbours
+            self._seed(seeds, upper, self.common(upper, lower, past).astype(np.uint16))
+            held = at[-1:]
+        self._seed(seeds, held, np.zeros(1, dtype=np.uint16))
+        names.drop()
+        stars.drop()
+        for at, shared, _ in self.induce(seeds, True):
+            yield at, shared
+
+    def _seed(self, seeds: BucketQueue, at: np.ndarray, shared: np.ndarray) -> None:
+        sym = self.text.gather(at).astype(np.int64)
+        by = np.argsort(sym, kind="stable")
+        seeds.push(sym[by], at[by], self.before(at[by]), shared[by])
+
+    def _names(self, sorted_: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], stars: int) -> tuple[Tape, int]:
+        """The names of the S* pieces in the order of the text, and how many there are."""
+        placed = BucketQueue(self.space)
+        width = self.n // max(1, -(-stars // self.space.chunk)) + 1
+        name, least = -1, 1
+        for at, shared, star in sorted_:
+            i = np.flatnonzero(star)
+            if len(i):
+                equal = np.minimum.reduceat(shared[: i[-1] + 1], np.append(0, i[:-1] + 1))
+                equal[0] = min(equal[0], least)
+                own = name + np.cumsum(equal == 0)
+                name = int(own[-1])
+                part = at[i] // width
+                by = np.argsort(part, kind="stable")
+                placed.push(part[by], at[i][by], own[by])
+                least = int(shared[i[-1] + 1 :].min(initial=1))
+            else:
+                least = min(least, int(shared.min(initial=1)))
+        names = Tape(self.space, "i4")
+        while (k := placed.next()) is not None:
+            parts = []
+            while (rows := placed.take(k)) is not None:
+                parts.append(rows)
+            at, own = map(np.concatenate, zip(*parts))
+            names.append(name - own[np.argsort(at)])
+        return names.finish(), name + 1
+
+
+def _keys(*queues: BucketQueue) -> Iterator[int]:
+    """The keys of queues that are read the same way, those that come meanwhile among them, until all are empty."""
+    while ahead := [k * q.sign for q in queues if (k := q.next()) is not None]:
+        yield queues[0].sign * min(ahead)
+
+
+def order_names(names: np.ndarray, reach: int, chunk: int) -> Iterator[Batch]:
+    """Suffixes of a sequence of names in descending order, as far as ``reach`` names decide, by doubling."""
     rank, step = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while step < depth:
+    levels = [names]
+    while step < reach and rank.max() < len(rank) - 1:
         ahead = np.zeros_like(rank)
         ahead[:-step] = rank[step:] + 1
         key = rank * (len(rank) + 2) + ahead
         order = np.argsort(key, kind="stable")
-        new = np.empty_like(rank)
-        new[order] = np.append(0, np.cumsum(np.diff(key[order]) != 0))
-        rank = new
-        if rank.max() == len(rank) - 1:
-            break
+        rank = np.empty_like(rank)
+        rank[order] = np.append(0, np.cumsum(np.diff(key[order]) != 0))
+        levels.append(rank.astype(np.int32))
         step *= 2
-    return order
-
-
-def sort_suffixes(x: np.ndarray, depth: int, folder: str) -> np.ndarray:
-    """Positions of ``x`` (its last symbol least and alone) so that suffixes ascend, as far as ``depth`` symbols decide."""
-    up = rising(x)
-    star = np.flatnonzero(up[1:] & ~up[:-1]).astype(np.int32) + 1
-    if len(star) > 1:
-        rough = induce(x, up, star, folder)
-        is_star = np.zeros(len(x), dtype=bool)
-        is_star[star] = True
-        by_piece = rough[is_star[rough]]
-        # equal pieces get equal names; a piece runs from one S* position through the next
-        number = np.empty(len(x), dtype=np.int32)
-        number[star] = np.arange(len(star), dtype=np.int32)
-        mark = x.astype(np.uint64) * np.uint64(2) + up + np.uint64(1)
-        place = np.arange(len(x)) - np.repeat(np.append(0, star), np.diff(np.concatenate([[0], star, [len(x)]])))
-        power = np.ones(place.max() + 2, dtype=np.uint64)
-        np.multiply.accumulate(np.full(len(power) - 1, np.uint64(0x9E3779B97F4A7C15)), out=power[1:])
-        value = np.add.reduceat(mark * power[place], star)
-        length = np.diff(np.append(star, len(x)))
-        value = (value + mark[np.minimum(star + length, len(x) - 1)] * power[length]) ^ length.astype(np.uint64)
-        at = number[by_piece]
-        name = np.empty(len(star), dtype=np.int64)
-        name[at] = np.append(0, np.cumsum(value[at][1:] != value[at][:-1]))
-        star = star[_rank_names(name, depth // 2 + 2)] if name.max() < len(star) - 1 else star[np.argsort(name)]
-    return induce(x, up, star, folder)
-
-
-def shares_window(raw: np.ndarray, left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:
-    """Whether the common prefix of each pair of positions reaches ``window`` bytes, eight at a time."""
-    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-    alive = np.arange(len(left))
-    for at in [*range(0, window - 7, 8), window - 8]:
-        alive = alive[words[left[alive] + at] == words[right[alive] + at]]
-    out = np.zeros(len(left), dtype=bool)
-    out[alive] = True
-    return out
+    order = np.argsort(rank, kind="stable")[::-1]
+    for at in range(0, len(order), chunk):
+        a = order[at : at + chunk]
+        b = order[at - 1 : at - 1 + len(a)] if at else np.append(a[:1], a[:-1])
+        shared = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            i, j = a + shared, b + shared
+            inside = np.flatnonzero(np.maximum(i, j) < len(order))
+            same = inside[levels[k][i[inside]] == levels[k][j[inside]]]
+            shared[same] += 1 << k
+        if not at:
+            shared[0] = 0
+        yield a, np.minimum(shared, reach)
+
+
+class SuffixKernel(Kernel):
+    """Which windows of a shard's byte segments occur again in it."""
+
+    def __init__(self, window: int, space: Space):
+        super().__init__(window, space)
+        self.text = Tape(space, "u2")
+        self.begin: list[int] = []
 
+    def add(self, symbols: np.ndarray) -> None:
+        self.begin.append(self.text.n)
+        self.text.append(np.append(symbols.astype(np.uint16) + np.uint16(2), np.uint16(_SEPARATOR)))
 
-def repeated_starts(segments: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each byte segment, which of its windows occur again in any of them. Windows have eight bytes or more."""
-    sizes = np.array([len(s) for s in segments])
-    ends = np.cumsum(sizes + 1)
-    begin = ends - sizes - 1
-    x = np.full(ends[-1] + 1, _SEPARATOR, dtype=np.uint16)
-    raw = np.zeros(ends[-1] + 8, dtype=np.uint8)
-    for b, s in zip(begin, segments):
-        x[b : b + len(s)] = s.astype(np.uint16) + 2
-        raw[b : b + len(s)] = s
-    x[-1] = 0
-    whole = np.zeros(len(x), dtype=bool)
-    for b, n in zip(begin, sizes):
-        whole[b : b + n - window + 1] = True
-    with tempfile.TemporaryDirectory() as folder:
-        order = sort_suffixes(x, window, folder)
-    order = order[whole[order]]
-    same = shares_window(raw, order[:-1], order[1:], window)
-    hit = np.zeros(len(x), dtype=bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    return [hit[b : b + n - window + 1] for b, n in zip(begin, sizes)]
+    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
+        self.text.append(np.zeros(1, dtype=np.uint16))
+        self.text.finish()
+        n, hits = self.text.n, BucketQueue(self.space)
+        width = max(1, self.space.chunk)
+        before = np.zeros(0, dtype=np.int64)
+        for at, shared in Sorter(self.text, 258, self.window, self.space).order():
+            line = np.append(before, at)
+            same = np.flatnonzero(shared[-len(line) + 1 :] >= self.window) if len(line) > 1 else np.zeros(0, dtype=np.int64)
+            found = np.unique(np.append(line[same], line[same + 1])) if len(same) else same
+            hits.push(found // width, found)
+            before = line[-1:]
+        self.text.drop()
+        begin = np.array([*self.begin, n - 1, n], dtype=np.int64)
+        while (k := hits.next()) is not None:
+            parts = []
+            while (rows := hits.take(k)) is not None:
+                parts.append(rows[0])
+            place = np.unique(np.concatenate(parts))
+            segment = np.searchsorted(begin, place, side="right") - 1
+            whole = place + self.window < begin[segment + 1]  # equal windows across the end of a segment are none
+            place, segment = place[whole], segment[whole]
+            for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(segment)) + 1) if len(place) else ():
+                yield int(segment[part[0]]), place[part] - begin[segment[part[0]]]
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = HOT) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, group_symbols: int = GROUP_SYMBOLS, memory: int = 64 << 20) -> DataFrame:
     """One row, as in ``SCHEMA``, for every row of ``docs`` (doc_id, text): bytes covered by a repeated window are removed.
 
     Null texts count as empty. Repeats are judged on the texts as they are and never cross documents; a window that occurs
-    twice in one document is a repeat. Repeated rows repeat each other.
+    twice in one document is a repeat. Repeated rows repeat each other; rows whose doc_id is null take part. Texts of any length
+    are cut into pieces of bounded length before they meet others. Other columns of ``docs`` are not read, whatever their names.
+    ``memory`` is what a shard holds before it writes to the shared folder.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, byte_symbols, window, gram, repeated_starts, hot)
+    spans = repeated_spans(rows, byte_symbols, window, gram, SuffixKernel, group_symbols, memory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
