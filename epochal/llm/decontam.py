@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, text_of, without
+from .shared import durable, text_of, unused, without
 
 WINDOW, LEAST_ITEM, LEAST_WINDOWS = 8, 3, 5
 #: Benchmark windows up to this number are broadcast.
@@ -34,22 +34,19 @@ _PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\\\]^_`{|}~¡¿«»“”‘’…–
 _SEP = "\\u001f"
 
 
-def _kind(with_values: bool) -> str:
-    """SQL that makes canonical words of ``_w``, words, and ``_b``, words without the punctuation around them.
+def _kind(literal: str, number: str, unit: str, name: str) -> str:
+    """SQL of what stands for the word ``b`` at ``i`` of ``_b``, words without the punctuation around them; ``_w`` are the words.
 
     Comparisons of whole words against single characters look at the first byte alone, which spares a regular expression per
-    word; empty words, which were punctuation, drop. With values, each element is a struct of the word and what it stands for.
+    word.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
     capital = "((b >= 'A' and b < '[') or (b >= 'À' and left(b, 1) != lower(left(b, 1))))"
-    kind = (
-        "case when b >= '0' and b < ':' then '#number' "
-        f"when i > 0 and _b[i - 1] >= '0' and _b[i - 1] < ':' and lower(b) in ({units}) then '#unit' "
-        f"when {capital} and i > 0 and right(_w[i - 1], 1) not in ('.', '!', '?', ':') then '#name' else lower(b) end"
+    return (
+        f"case when b >= '0' and b < ':' then {number} "
+        f"when i > 0 and _b[i - 1] >= '0' and _b[i - 1] < ':' and lower(b) in ({units}) then {unit} "
+        f"when {capital} and i > 0 and right(_w[i - 1], 1) not in ('.', '!', '?', ':') then {name} else {literal} end"
     )
-    if not with_values:
-        return f"filter(transform(_b, (b, i) -> {kind}), c -> c != '')"
-    return f"filter(transform(_b, (b, i) -> named_struct('w', {kind}, 'v', lower(b))), c -> c.w != '')"
 
 
 def _bare(rows: DataFrame) -> DataFrame:
@@ -58,44 +55,60 @@ def _bare(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_w", F.expr(words)).withColumn("_b", F.expr(f"transform(_w, w -> if({clean}, w, btrim(w, '{_PUNCTUATION}')))"))
 
 
-def canonical(rows: DataFrame) -> DataFrame:
-    """``rows`` with a column ``_text`` gain ``_c``, the canonical words, and ``_x``, the same words in lower case."""
-    return _bare(rows).withColumn("_c", F.expr(_kind(False))).withColumn("_x", F.expr("filter(transform(_b, b -> lower(b)), x -> x != '')")).drop("_w", "_b", "_text")
+#: What stands for numbers, units and names in sequences of hashes.
+_NUMBER, _UNIT, _NAME = 1, 2, 3
+_FOLDED = f"if(s.z = {_NAME}, s.y, s.z)"
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``_text`` gain sequences of hashes: ``_z``, the canonical words; ``_y``, the words in lower case; and
+    ``_f``, the canonical words with names as words. Words that were punctuation alone drop."""
+    kind = _kind("xxhash64(lower(b))", f"{_NUMBER}L", f"{_UNIT}L", f"{_NAME}L")
+    both = f"filter(transform(_b, (b, i) -> named_struct('z', {kind}, 'y', if(b = '', null, xxhash64(lower(b))))), s -> s.y is not null)"
+    out = _bare(rows).withColumn("_s", F.expr(both)).drop("_w", "_b", "_text")
+    return out.withColumn("_f", F.expr(f"transform(_s, s -> {_FOLDED})")).withColumn("_z", F.expr("_s.z")).withColumn("_y", F.expr("_s.y")).drop("_s")
 
 
 def values(rows: DataFrame) -> DataFrame:
-    """As ``canonical``, with ``_v`` besides: the value behind each placeholder, null for other words."""
-    out = _bare(rows).withColumn("_cv", F.expr(_kind(True))).drop("_w", "_b", "_text")
+    """``rows`` with a column ``_text`` gain the same sequences as texts, ``_c`` and ``_x``, and ``_v``: the value behind each
+    placeholder, null for other words."""
+    kind = _kind("lower(b)", "'#number'", "'#unit'", "'#name'")
+    made = f"filter(transform(_b, (b, i) -> named_struct('w', {kind}, 'v', lower(b))), c -> c.w != '')"
+    out = _bare(rows).withColumn("_cv", F.expr(made)).drop("_w", "_b", "_text")
     value = "if(c.w in ('#number', '#unit', '#name'), c.v, null)"
     return out.withColumn("_c", F.expr("transform(_cv, c -> c.w)")).withColumn("_x", F.expr("transform(_cv, c -> c.v)")).withColumn("_v", F.expr(f"transform(_cv, c -> {value})")).drop("_cv")
 
 
-def _valued(words: str, at: str, length: int) -> str:
-    """Whether numbers and units are more than two words in five of a window; always so in windows below ``LEAST_ITEM``."""
+def _valued(length: int) -> str:
+    """Whether numbers and units are more than two words in five of a window; always so in windows below ``LEAST_ITEM``.
+
+    The unit that a window may begin with is a word there, since it is a unit by the word before the window.
+    """
     if length < LEAST_ITEM:
         return "true"
-    held = [f"if({words}[{at}] = '#number', 1, 0)", *(f"if({words}[{at} + {k}] in ('#number', '#unit'), 1, 0)" for k in range(1, length))]
+    held = [f"if(_f[_i] = {_NUMBER}, 1, 0)", *(f"if(_f[_i + {k}] between {_NUMBER} and {_UNIT}, 1, 0)" for k in range(1, length))]
     return f"({' + '.join(held)}) * 5 > {2 * length}"
 
 
-def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Every window of that length under its keys: keys, at, kind, h.
+def _windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """Every window of those lengths of the sequences of ``coded`` under its keys: keys, at, length, kind, h.
 
     Kind 0 is the template. Kind 1 takes names as words, or all words where ``_valued`` is true; it is left out where both are
-    the same. The unit that a window may begin with is a word there, since it is a unit by the word before the window.
+    the same. Windows below ``LEAST_ITEM`` are whole sequences.
+
+    Places are made first and windows hashed from them, in generated code; a lambda over windows would be interpreted. The outer
+    form keeps the optimizer from making the sequences twice to filter.
     """
-    template = ", ".join(f"z[i + {k}]" for k in range(length))
-    folded = ", ".join(["if(f[i] = '#unit', y[i], f[i])", *(f"f[i + {k}]" for k in range(1, length))])
-    exact = ", ".join(f"y[i + {k}]" for k in range(length))
-    folded = f"if({_valued('f', 'i', length)}, xxhash64('=', {exact}), xxhash64({folded}))"
-    # the words are bound once for all windows, and the outer form keeps the optimizer from making the windows twice to filter
-    at = f"if(size(z) < {length}, cast(array() as array<int>), sequence(0, size(z) - {length}))"
-    first, second = f"transform(p, i -> xxhash64({template}))", f"transform(p, i -> {folded})"
-    both = f"transform(array({first}), a -> concat(a, zip_with(a, {second}, (g, h) -> if(g = h, null, h))))[0]"
-    made = "zip_with(_c, _x, (c, x) -> if(c = '#name', x, c))"
-    made = f"transform(array(_c), z -> transform(array(_x), y -> transform(array({made}), f -> transform(array({at}), p -> {both})[0])[0])[0])[0]"
-    found = rows.selectExpr(*keys, f"greatest(size(_c) - {length - 1}, 1) as _n", f"posexplode_outer({made}) as (_p, h)").where("h is not null")
-    return found.selectExpr(*keys, "_p % _n as at", "cast(_p div _n as int) as kind", "h")
+    rows = rows.selectExpr(*keys, "_z", "_y", "_f", "explode_outer(if(size(_z) = 0, cast(array() as array<int>), sequence(0, size(_z) - 1))) as _i").where("_i is not null")
+    hashed, pairs = [], []
+    for n in lengths:
+        inside = f"_i + {n} <= size(_z)" if n >= LEAST_ITEM else f"size(_z) = {n} and _i = 0"
+        folded = f"xxhash64(if(_f[_i] = {_UNIT}, _y[_i], _f[_i]), slice(_f, _i + 2, {n - 1}))"
+        hashed += [f"if({inside}, xxhash64(_z[_i], slice(_z, _i + 2, {n - 1})), null) as _t{n}", f"if({inside}, if({_valued(n)}, xxhash64('=', slice(_y, _i + 1, {n})), {folded}), null) as _g{n}"]
+        pairs += [f"_t{n}", f"if(_t{n} = _g{n}, null, _g{n})"]
+    found = rows.selectExpr(*keys, "_i as at", *hashed).selectExpr(*keys, "at", f"posexplode(array({', '.join(pairs)})) as (_p, h)").where("h is not null")
+    length = F.expr(f"array({', '.join(map(str, lengths))})[_p div 2]") if len(lengths) > 1 else F.lit(lengths[0])
+    return found.select(*keys, "at", length.alias("length"), F.expr("_p % 2").alias("kind"), "h")
 
 
 def _slots(at: str, length: int | str, kind: str) -> str:
@@ -125,42 +138,54 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _keyed_matches(docs, benchmark).drop("text_key")
 
 
+def _asked(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The windows of all items: item_id, q_at, length, kind (2: exact words), h and the values behind them; and their lengths."""
+    items = values(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
+    code = f"case c when '#number' then {_NUMBER}L when '#unit' then {_UNIT}L when '#name' then {_NAME}L else xxhash64(c) end"
+    items = items.withColumn("_z", F.expr(f"transform(_c, c -> {code})")).withColumn("_y", F.expr("transform(_x, x -> xxhash64(x))")).withColumn("_f", F.expr(f"zip_with(_z, _y, (z, y) -> if(z = {_NAME}, y, z))"))
+    items = items.withColumn("_n", F.expr(f"least(size(_c), {WINDOW})"))
+    lengths = sorted(r["_n"] for r in items.select("_n").where("_n > 0").distinct().collect())  # at most eight numbers
+    asked = None
+    for n in lengths:
+        literal = f"aggregate(slice(_c, q_at + 1, {n}), 0, (a, c) -> a + if(startswith(c, '#'), 0, 1)) * 5 >= {3 * n}" if n >= LEAST_ITEM else "false"
+        own = _windows(items.where(f"_n = {n}"), ["item_id", "_c", "_v", "_z", "_y", "_f"], [n]).withColumnRenamed("at", "q_at").where(f"kind = 1 or {literal}")
+        own = own.withColumn("_i", F.col("q_at")).withColumn("kind", F.expr(f"if(kind = 1 and {_valued(n)}, 2, kind)"))
+        own = own.select("item_id", "q_at", "length", "kind", "h", F.expr(_slots("q_at", n, "kind")).alias("q_values"))
+        asked = own if asked is None else asked.unionByName(own)
+    if asked is None:
+        asked = items.selectExpr("item_id", "0 as q_at", "0 as length", "0 as kind", "0L as h", "'' as q_values").limit(0)
+    return durable(asked, "asked"), lengths or [WINDOW]
+
+
 def _keyed_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``matches`` with ``text_key``."""
-    items = values(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("_text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("_text"))
-    texts = canonical(rows.drop("doc_id"))
-    short = [r.n for r in items.select(F.size("_c").alias("n")).where(f"n >= 1 and n < {WINDOW}").distinct().collect()]  # at most seven numbers
-    hits = sizes = None
-    for length in [WINDOW, *sorted(short)]:
-        own = items if length == WINDOW else items.where(F.size("_c") == length)
-        literal = f"aggregate(slice(_c, q_at + 1, {length}), 0, (a, c) -> a + if(startswith(c, '#'), 0, 1)) * 5 >= {3 * length}" if length >= LEAST_ITEM else "false"
-        asked = _windows(own, ["item_id", "_c", "_x", "_v"], length).withColumnRenamed("at", "q_at").where(f"kind = 1 or {literal}")
-        asked = asked.withColumn("kind", F.expr(f"if(kind = 1 and {_valued('_c', 'q_at', length)}, 2, kind)"))
-        asked = durable(asked.select("item_id", "q_at", "kind", "h", F.expr(_slots("q_at", length, "kind")).alias("q_values"), F.lit(length).alias("length")), "asked")
-        usable = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("templates"))
-        few = asked.count() <= BROADCAST_WINDOWS
-        held = texts if length >= LEAST_ITEM else texts.where(F.size("_c") == length)
-        found = _windows(held, ["k1", "k2"], length).withColumnRenamed("kind", "d_kind").join(F.broadcast(asked) if few else asked, "h").drop("h")
-        hits = found if hits is None else hits.unionByName(found)
-        sizes = usable if sizes is None else sizes.unionByName(usable)
-    hits = durable(hits, "hits")
+    asked, lengths = _asked(benchmark)
+    few = asked.count() <= BROADCAST_WINDOWS
+    found = _windows(coded(rows.drop("doc_id")), ["k1", "k2"], lengths).drop("length").withColumnRenamed("kind", "d_kind")
+    # a row that came twice has its windows once
+    hits = durable(found.join(F.broadcast(asked) if few else asked, "h").drop("h").withColumn("as_kind", F.greatest("kind", "d_kind")), "hits").distinct()
     ids = hits.select("k1", "k2").distinct()
     some = ids.count() <= BROADCAST_WINDOWS
     held = values(rows.join(F.broadcast(ids) if some else ids, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", "_text")).dropDuplicates(["k1", "k2"]).drop("_x")
-    per = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "at", "q_at", "kind", "d_kind", "q_values", "length")).alias("_h"))  # bounded by the document's words
-    made = "transform(_h, h -> named_struct('item_id', h.item_id, 'q_at', h.q_at, 'kind', h.kind, 'diagonal', h.at - h.q_at, 'q_values', h.q_values, 'values', %s))" % _slots("h.at", "h.length", "greatest(h.kind, h.d_kind)")
-    hits = held.join(per, ["k1", "k2"]).select("k1", "k2", "doc_id", F.expr(f"inline({made})"))
+    # the values of each place once, however many items meet it: bounded by the document's words
+    place = ["k1", "k2", "at", "length", "as_kind"]
+    per = hits.select(*place).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "length", "as_kind")).alias("_h"))
+    made = "transform(_h, h -> named_struct('at', h.at, 'length', h.length, 'as_kind', h.as_kind, 'values', %s))" % _slots("h.at", "h.length", "h.as_kind")
+    met = held.join(per, ["k1", "k2"]).select("k1", "k2", "doc_id", F.expr(f"inline({made})"))
+    hits = durable(hits.join(met, place).select("k1", "k2", "doc_id", "item_id", "q_at", "kind", (F.col("at") - F.col("q_at")).alias("diagonal"), "q_values", "values"), "alignments")
     key = ["k1", "k2", "item_id", "diagonal"]
     # in one alignment a value of the item meets one value of the document
     both = F.arrays_zip(F.split("q_values", _SEP).alias("q"), F.split("values", _SEP).alias("d"))
     met = hits.where("q_values != ''").select(*key, F.explode(both).alias("p")).select(*key, F.col("p.q").alias("q"), F.col("p.d").alias("d"))
     met = met.groupBy(*key, "q").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     slots = met.groupBy(*key).agg(F.max(F.expr("lo is distinct from hi")).alias("broken"), F.max(F.expr("q is distinct from lo")).alias("changed"))
-    spans = hits.groupBy(*key, "doc_id").agg(F.count_distinct("q_at").alias("met"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("by_template"))
-    whole = spans.join(slots, key, "left").where("not coalesce(broken, false)")
-    pairs = whole.groupBy("doc_id", F.expr("if(doc_id is null, k2, 0L)").alias("text_key"), "item_id").agg(F.sum("met").alias("n_windows"), F.sum("by_template").alias("by_template"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
-    sizes = sizes.groupBy("item_id").agg(F.max("item_windows").alias("item_windows"), F.max("templates").alias("templates"))
+    whole = hits.join(slots, key, "left").where("not coalesce(broken, false)")
+    # windows of the item count once, in however many alignments they are met
+    pairs = whole.groupBy("doc_id", F.expr("if(doc_id is null, k2, 0L)").alias("text_key"), "item_id").agg(
+        F.count_distinct("q_at").alias("n_windows"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("by_template"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed")
+    )
+    sizes = asked.groupBy("item_id").agg(F.count_distinct("q_at").alias("item_windows"), F.count_distinct(F.expr("if(kind = 0, q_at, null)")).alias("templates"))
     enough = f"n_windows >= least({LEAST_WINDOWS}, item_windows) or (templates > 0 and by_template >= least({LEAST_WINDOWS}, templates))"
     return pairs.join(sizes, "item_id").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "changed", F.expr(enough).alias("contaminated"))
 
@@ -171,6 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    found = _keyed_matches(docs, benchmark).where("contaminated").select(_id().alias("__id"), F.col("text_key").alias("__text"))
-    return without(docs.withColumns({"__id": _id(), "__text": _text_key()}), found, ["__id", "__text"]).select(*docs.columns)
+    """The rows of ``docs``, with all their columns whatever their names, that hold no benchmark item."""
+    own = unused(docs, "id", "text")
+    found = _keyed_matches(docs, benchmark).where("contaminated").select(_id().alias(own[0]), F.col("text_key").alias(own[1]))
+    return without(docs.withColumns({own[0]: _id(), own[1]: _text_key()}), found, own).select(*docs.columns)

@@ -60,6 +60,19 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(docs: DataFrame, *labels: str) -> list[str]:
+    """Names for columns of an operator's own, which no column of ``docs`` has in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for label in labels:
+        name = f"_{label}"
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, ids: DataFrame, columns: str | list[str] = "doc_id", most: int = 500_000) -> DataFrame:
     """The rows of ``docs`` whose ``columns`` are not among those of ``ids``.
 

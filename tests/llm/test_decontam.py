@@ -1,10 +1,12 @@
 """Benchmark leaks: copies, copies with other values, and texts that only look alike."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from epochal.llm import decontam
 
-from .common import SF, frame, odd_texts
+from .common import SF, frame, odd_texts, words
 
 ITEM = "Yesterday the baker Anna sold 12 loaves at 3 euros each and then bought 5 kg of flour for her small shop in town, how much money did Anna keep?"
 
@@ -47,6 +49,102 @@ def test_items_of_values(spark):
     assert set(got) == {(i, 100 + i) for i in range(5)} and not any(r.changed for r in got.values())
 
 
+def test_one_window_many_times(spark):
+    """A window that a document repeats is one window of the item, however often it is met."""
+    window = " ".join(ITEM.split()[:8])
+    got = {r.doc_id: r for r in decontam.matches(frame(spark, [(window + " and so on ") * 5, ITEM]), spark.createDataFrame([(100, ITEM)], "item_id long, text string")).collect()}
+    assert got[0].n_windows == 1 and not got[0].contaminated and got[1].contaminated
+
+
+def test_names_with_few_words_between(spark):
+    """No window of the item has three literal words in five; copied as it is, it is found."""
+    item = "12 Anna 4 Bob 5 Carl 9 Dora 3 Emil 7 Fred 1 Gerd 8"
+    assert set(found(spark, ["Say " + item + " now", "12 Anna 4 Bob 5 Carl 9 Dora 8 Olga"], [item])) == {(0, 100)}
+
+
+def brute_matches(docs, items):
+    """(doc_id, item_id) of contaminated pairs, word by word in plain Python, for texts in ASCII."""
+    import string
+
+    def code(text):
+        out, w = [], words(text)
+        bare = [x.strip(string.punctuation) for x in w]
+        for i, b in enumerate(bare):
+            kind = ""
+            if b[:1].isdigit():
+                kind = "#number"
+            elif i and bare[i - 1][:1].isdigit() and b.lower() in decontam.UNITS:
+                kind = "#unit"
+            elif i and b[:1].isupper() and w[i - 1][-1] not in ".!?:":
+                kind = "#name"
+            if b:
+                out.append((kind or b.lower(), b.lower()))
+        return out
+
+    def keys(c, i, n):
+        """Both keys of a window, each with the places that are slots."""
+        win = c[i : i + n]
+        slot = [k if k.startswith("#") else "" for k, _ in win]
+        folded = ["" if s == "#name" or (s == "#unit" and j == 0) else s for j, s in enumerate(slot)]
+        if n < 3 or 5 * sum(map(bool, folded)) > 2 * n:
+            second = ("=", *(x for _, x in win)), [False] * n
+        else:
+            second = tuple(s or x for s, (_, x) in zip(folded, win)), list(map(bool, folded))
+        first = tuple(k for k, _ in win), list(map(bool, slot))
+        return first, second
+
+    found = set()
+    for item_id, text in items:
+        q = code(text)
+        n = min(len(q), 8)
+        if not n:
+            continue
+        asked = []
+        for j in range(len(q) - n + 1):
+            first, second = keys(q, j, n)
+            if n >= 3 and 5 * first[1].count(False) >= 3 * n:
+                asked.append((j, 0, *first))
+            asked.append((j, 1, *second))
+        for doc_id, t in docs:
+            d = code(t)
+            if n < 3 and len(d) != n:
+                continue
+            by = {}
+            for i in range(len(d) - n + 1):
+                for own in keys(d, i, n):
+                    for j, kind, key, slots in asked:
+                        if key == own[0]:
+                            by.setdefault(i - j, []).append((j, kind, [k for k in range(n) if slots[k] and own[1][k]]))
+            met, template = set(), set()
+            for diagonal, rows in by.items():
+                pairs = {(q[j + k][1], d[j + diagonal + k][1]) for j, _, ks in rows for k in ks}
+                if len({a for a, _ in pairs}) == len(pairs):
+                    met |= {j for j, _, _ in rows}
+                    template |= {j for j, kind, _ in rows if not kind}
+            sizes = len({j for j, *_ in asked}), len({j for j, kind, *_ in asked if not kind})
+            if met and (len(met) >= min(5, sizes[0]) or sizes[1] and len(template) >= min(5, sizes[1])):
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = ["the", "baker", "sold", "loaves", "at", "euros", "each", "kg", "of", "flour", "Anna", "Bob", "12", "5", "3.5", "in", "town.", "How", "much?"]
+    items = [(100 + i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 5, 7, 8, 9, 12, 14])))) for i in range(25)]
+    texts = []
+    for _ in range(250):
+        own = [rng.choices(vocabulary, k=rng.randint(0, 8))]
+        for _, t in rng.sample(items, rng.randint(0, 2)):
+            w = t.split()
+            change = {x: rng.choice(["Clara", "7", "Dora", x, x]) for x in set(w)}
+            w = [change[x] if rng.random() < 0.9 and (x[0].isdigit() or x in ("Anna", "Bob")) else x for x in w]
+            own.append([x.upper() for x in w] if rng.random() < 0.2 else w)
+            own.append(rng.choices(vocabulary, k=rng.randint(0, 4)))
+        texts.append(" ".join(x for part in own for x in part))
+    want = brute_matches(list(enumerate(texts)), items)
+    assert len(want) > 60 and set(found(spark, texts, [t for _, t in items])) == want
+
+
 def test_rows_without_id(spark):
     w = ITEM.split()
     texts = [ITEM, "clean", None, " ".join(w[:10]), " ".join(w[8:18])]  # the last two hold three windows each
@@ -70,7 +168,11 @@ def test_planted_passages(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     plain = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
     want = {(d, b.item_id) for b in bench.collect() for d, t in plain.items() if " ".join(b.text.split()) in t}
-    assert want <= got and len(got) <= len(want) + 25
+    assert want <= got
+    # besides exact passages, only what word by word comparison finds too
+    items = {b.item_id: b.text for b in bench.collect()}
+    for d, i in got - want:
+        assert (d, i) in brute_matches([(d, plain[d])], [(i, items[i])])
     left = decontam.decontaminate(docs, bench)
     assert {r.doc_id for r in left.collect()} == set(plain) - {d for d, _ in got} and left.columns == docs.columns
 
