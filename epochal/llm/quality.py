@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import text_of, unused
 
 #: Lines of a piece of training text; bytes of text whose features are made at once.
 PIECE, SLICE_BYTES = 64, 1 << 21
@@ -310,17 +310,20 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docume
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_documents: int = 6000) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns, whatever their names. Null texts are scored
+    as empty ones and stay null."""
     field = docs.sparkSession.sparkContext.broadcast(train(sample_pieces(docs, labels, max_documents)))
-    own = docs.withColumn("__text", text_of())
+    (text,) = unused(docs, "text")
+    own = docs.withColumn(text, text_of())
     schema = own.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for part, data, offsets in _slices(batch, at):
                 doc, size, features = line_features(data, offsets)
                 s = field.value.scores(field.value.means(np.bincount(doc, minlength=part.num_rows), size, features))
-                yield part.filter(pa.array(s >= threshold)).drop_columns(["__text"])
+                kept = part.filter(pa.array(s >= threshold))
+                yield pa.RecordBatch.from_arrays(kept.columns[:at], schema=pa.schema(list(kept.schema)[:at]))
 
     return own.mapInArrow(run, type(schema)(schema.fields[:-1]))

@@ -2,8 +2,8 @@
 
 1. Every text is cut into segments (see ``segments``); a segment is known by its anchor and a hash of its symbols, and is of
    bounded length whatever the text.
-2. Anchors that occur once, and whose gram is in their segment once, drop out. Equal segments become one class with a count: all windows of a class that occurs twice are
-   repeats, whatever else there is.
+2. Equal segments become one class with a count, before they are shuffled: all windows of a class that occurs twice are repeats,
+   whatever else there is. Anchors with one class, and whose gram is in its segments once, have nothing to compare.
 3. The distinct classes of one anchor are fetched once each and compared by the operator's kernel, many anchors at a time; rows
    come sorted by anchor, so a task holds a few groups and not its whole partition. A group of more than ``GROUP_SYMBOLS``
    symbols is cut further, to its single windows: these are classes themselves, which are counted like those of step 2 and need
@@ -110,9 +110,8 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
 
     made = durable(rows.select("k1", "k2", "text").mapInArrow(make_segments, "k1 long, k2 long, a int, b int, anchor long, content long, inner boolean"), "segments")
     # written out, so that the joins below are between plain shuffles and adaptive execution can split a hot anchor
-    again = durable(made.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor"), "anchors")
-    found = durable(made.join(again, "anchor", "left_semi"), "shared-segments")
-    classes = durable(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("k1", "k2", "a", "b")).alias("one")), "classes")
+    classes = made.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("k1", "k2", "a", "b")).alias("one"))
+    classes = durable(classes, "classes")
     groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner"), F.sum(F.expr(f"one.b - one.a + {window - 1}")).alias("size"))
     groups = durable(groups.where("m > 1 or inner").select("anchor", (F.col("size") > group_symbols).alias("large")), "groups")
     asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", "large")
@@ -186,7 +185,7 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
     counted = single.join(twice, "h", "left_semi").select("anchor", "content", "x", (F.col("x") + 1).alias("y"))
     whole = classes.where("n > 1").select("anchor", "content", F.lit(0).alias("x"), (F.col("one.b") - F.col("one.a")).alias("y"))
     ranges = whole.unionByName(partial).unionByName(counted)
-    spans = found.join(ranges, ["anchor", "content"]).select("k1", "k2", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y") - 1 + window).alias("b"))
+    spans = made.join(ranges, ["anchor", "content"]).select("k1", "k2", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y") - 1 + window).alias("b"))
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 

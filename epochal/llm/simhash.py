@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import durable, text_of, without
+from .shared import durable, text_of, unused, without
 
 BITS, BLOCK, BUDGET = 64, 16, 3
 #: Node pairs followed at a time; rows of one unit of work at most, before it is split.
@@ -201,22 +201,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one stays of each group of near-duplicates: that with the least
-    doc_id (null last), then the least hash of its text. Of repeated rows one stays."""
+    """The rows of ``docs``, with all their columns, whatever their names, of which one stays of each group of near-duplicates:
+    that with the least doc_id (null last), then the least hash of its text. Of repeated rows one stays."""
     return keep_first(docs, classes_of(docs, shingle))
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of each root of ``classes`` (root, doc_id, content) the first row of ``docs``, as ``keep_one`` orders them."""
-    key = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__content": F.xxhash64(text_of())}
-    rows = docs.withColumns(key)
-    classes = classes.select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("content").alias("__content"))
-    counted = durable(classes.groupBy("root", "__id", "__content").agg(F.count("*").alias("n")), "copies")
-    first = counted.groupBy("root").agg(F.min(F.struct("__id", "__content")).alias("one")).select("root", "one.*")
-    gone = counted.join(first, ["root", "__id", "__content"], "left_anti")
-    kept = without(rows, gone, ["__id", "__content"])
-    doubled = counted.join(first, ["root", "__id", "__content"], "left_semi").where("n > 1").select("__id", "__content")
+    key = unused(docs, "id", "content")
+    rows = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), key[1]: F.xxhash64(text_of())})
+    classes = classes.select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(key[0]), F.col("content").alias(key[1]))
+    counted = durable(classes.groupBy("root", *key).agg(F.count("*").alias("n")), "copies")
+    first = durable(counted.groupBy("root").agg(F.min(F.struct(*key)).alias("one")).select("root", "one.*"), "first")
+    gone = counted.join(first, ["root", *key], "left_anti")
+    kept = without(rows, gone, key)
+    doubled = counted.join(first, ["root", *key], "left_semi").where("n > 1").select(*key)
     if not doubled.isEmpty():
-        again = kept.join(doubled, ["__id", "__content"], "left_semi").dropDuplicates(["__id", "__content"])
-        kept = without(kept, doubled, ["__id", "__content"]).unionByName(again)
+        again = kept.join(doubled, key, "left_semi").dropDuplicates(key)
+        kept = without(kept, doubled, key).unionByName(again)
     return kept.select(*docs.columns)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from epochal.llm import similar
+from epochal.llm import simhash, similar
 
 from .common import SF, frame, odd_texts, words
 from .test_simhash import brute_components, brute_fingerprint
@@ -73,5 +73,24 @@ def test_large_groups_keep_one(spark):
     assert [r.doc_id for r in similar.keep_one_similar(frame(spark, texts)).collect()] == [0]
 
 
+def test_links_inside_large_buckets(spark, monkeypatch):
+    """A bucket too large for all pairs still finds a pair that no representative links."""
+    monkeypatch.setattr(similar, "WHOLE_BUCKET", 3)
+    monkeypatch.setattr(similar, "REPRESENTATIVES", 1)
+    rng = random.Random(11)
+    texts = near_copies(rng, 12, 6, 120)  # two copies are less similar to each other than to the first
+    texts += [t + " and one more" for t in texts[5:9]]
+    got = similar.keep_one_similar(frame(spark, texts))
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(list(enumerate(texts)))
+
+
+def test_clashing_names(spark):
+    names = ["_id", "__id", "_content", "content", "root", "n", "__content", "_text", "__text"]
+    rows = spark.createDataFrame([(i, t, *range(70, 70 + len(names))) for i, t in enumerate(["a b c d e f", "a b c d e f", "x"])], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for keep in (similar.keep_one_similar, simhash.keep_one):
+        got = sorted(map(tuple, keep(rows).collect()))
+        assert got == [(i, t, *range(70, 70 + len(names))) for i, t in ((0, "a b c d e f"), (2, "x"))]
+
+
 def test_empty(spark):
     assert similar.keep_one_similar(frame(spark, [])).count() == 0
