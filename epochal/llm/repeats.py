@@ -15,6 +15,7 @@ Rows are told apart by doc_id and a hash of the text; repeated rows are separate
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ class Kernel:
     """Takes the segments of whole groups, each at least a window long, and tells which of their windows occur again."""
 
     #: Symbols it is given at a time, but for the rest of the last group.
-    shard_symbols = 2 << 20
+    shard_symbols = 1 << 20
 
     def __init__(self, window: int, space: Space):
         self.window, self.space = window, space
@@ -91,6 +92,24 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         a = b
 
 
+def _comparable(group: list[tuple[int, int, np.ndarray]], window: int, gram: int) -> list[tuple[int, np.ndarray]]:
+    """The segments of one anchor that can share a window with another.
+
+    A window reaches at least half of what it has besides the anchor's gram to one side of it, so its segment has that half in
+    common with the other's. Where some segment has the gram more than once, all are kept.
+    """
+    if any(place < 0 for _, place, _ in group):
+        return [(content, s) for content, _, s in group]
+    half = -(-(window - gram) // 2)
+    sides: list[list] = [[], []]
+    for _, place, s in group:
+        raw, z = memoryview(s).cast("B"), s.itemsize
+        sides[0].append(raw[(place - half) * z : place * z].tobytes() if place >= half else None)
+        sides[1].append(raw[(place + gram) * z : (place + gram + half) * z].tobytes() if place + gram + half <= len(s) else None)
+    seen = [Counter(x for x in side if x is not None) for side in sides]
+    return [(content, s) for (content, _, s), left, right in zip(group, *sides) if seen[0][left] > 1 or seen[1][right] > 1]
+
+
 def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, kernel: type[Kernel], group_symbols: int, memory: int = 64 << 20) -> DataFrame:
     """k1, k2 and spans (an array of a, b: symbols [a, b) are covered by repeated windows) of ``rows`` as ``keyed`` gives them."""
     i64, i32 = pa.int64(), pa.int32()
@@ -100,22 +119,22 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
         for whole in batches:
             for batch in _slices(whole, 2, CUT_BYTES):
                 s, offsets = symbols(batch.column(2))
-                a, b, anchor, inner = cut(s, offsets, window, gram)
+                a, b, anchor, place = cut(s, offsets, window, gram)
                 doc = np.searchsorted(offsets, a, side="right") - 1
                 raw, z = memoryview(s).cast("B"), s.itemsize
                 h64 = xxhash.xxh3_64_intdigest
                 content = np.array([h64(raw[x:y]) for x, y in zip((a * z).tolist(), ((b - 1 + window) * z).tolist())], dtype=np.uint64).view(np.int64)
                 at = offsets[doc] if len(doc) else doc
-                yield _batch([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), (a - at).astype(np.int32), (b - at).astype(np.int32), anchor, content, inner], [i64, i64, i32, i32, i64, i64, pa.bool_()], ["k1", "k2", "a", "b", "anchor", "content", "inner"])
+                yield _batch([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), (a - at).astype(np.int32), (b - at).astype(np.int32), anchor, content, place.astype(np.int32)], [i64, i64, i32, i32, i64, i64, i32], ["k1", "k2", "a", "b", "anchor", "content", "place"])
 
-    made = durable(rows.select("k1", "k2", "text").mapInArrow(make_segments, "k1 long, k2 long, a int, b int, anchor long, content long, inner boolean"), "segments")
+    made = durable(rows.select("k1", "k2", "text").mapInArrow(make_segments, "k1 long, k2 long, a int, b int, anchor long, content long, place int"), "segments")
     # written out, so that the joins below are between plain shuffles and adaptive execution can split a hot anchor
-    classes = made.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("k1", "k2", "a", "b")).alias("one"))
+    classes = made.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min(F.struct("k1", "k2", "a", "b")).alias("one"))
     classes = durable(classes, "classes")
-    groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.max("inner").alias("inner"), F.sum(F.expr(f"one.b - one.a + {window - 1}")).alias("size"))
-    groups = durable(groups.where("m > 1 or inner").select("anchor", (F.col("size") > group_symbols).alias("large")), "groups")
-    asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", "large")
-    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "anchor", "content", "large")).alias("parts"))
+    groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("place").alias("place"), F.sum(F.expr(f"one.b - one.a + {window - 1}")).alias("size"))
+    groups = durable(groups.where("m > 1 or place < 0").select("anchor", (F.col("size") > group_symbols).alias("large")), "groups")
+    asked = classes.join(groups, "anchor").select("one.*", "anchor", "content", classes.place, "large")
+    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "anchor", "content", "place", "large")).alias("parts"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -124,19 +143,20 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
                 raw, z = memoryview(s).cast("B"), s.itemsize
                 parts = batch.column(1)
                 doc = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
-                a, b, anchor, content, large = parts.flatten().flatten()
+                a, b, anchor, content, place, large = parts.flatten().flatten()
                 first, end = (offsets[doc] + a.to_numpy()) * z, (offsets[doc] + b.to_numpy() - 1 + window) * z
                 for at in range(0, len(doc), 2048):
                     to = min(at + 2048, len(doc))
                     held = pa.array([raw[x:y] for x, y in zip(first[at:to].tolist(), end[at:to].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([anchor[at:to], content[at:to], large[at:to], held], names=["anchor", "content", "large", "symbols"])
+                    yield pa.RecordBatch.from_arrays([anchor[at:to], content[at:to], place[at:to], large[at:to], held], names=["anchor", "content", "place", "large", "symbols"])
 
-    fetched = durable(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "parts").mapInArrow(fetch, "anchor long, content long, large boolean, symbols binary"), "contents")
+    fetched = durable(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "parts").mapInArrow(fetch, "anchor long, content long, place int, large boolean, symbols binary"), "contents")
     kind = symbols(pa.array([], pa.string()))[0].dtype
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(spill, memory)
         held: list[tuple[int, int]] = []
+        group: list[tuple[int, int, np.ndarray]] = []  # content, place of the anchor, symbols
         own, size, last = kernel(window, space), 0, None
 
         def results() -> Iterator[pa.RecordBatch]:
@@ -150,25 +170,34 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
                     out = [[], [], [], []]
             yield _batch(out, [i64, i64, i32, i32], ["anchor", "content", "x", "y"])
 
+        def close_group() -> None:
+            nonlocal size
+            for content, s in _comparable(group, window, gram):
+                own.add(s)
+                held.append((last[0], content))
+                size += len(s)
+            group.clear()
+
         try:
             for batch in batches:
-                for anchor, content, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for anchor, content, place, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                     if last == (anchor, content):
                         continue  # a repeated row brought its class along again
-                    if size >= own.shard_symbols and last[0] != anchor:
-                        yield from results()
-                        held, own, size = [], kernel(window, space), 0
+                    if last is not None and last[0] != anchor:
+                        close_group()
+                        if size >= own.shard_symbols:
+                            yield from results()
+                            held, own, size = [], kernel(window, space), 0
                     last = (anchor, content)
-                    s = np.frombuffer(raw.as_buffer(), dtype=kind)
-                    own.add(s)
-                    held.append(last)
-                    size += len(s)
+                    group.append((content, place, np.frombuffer(raw.as_buffer(), dtype=kind)))
+            if group:
+                close_group()
             if held:
                 yield from results()
         finally:
             space.close()
 
-    near = fetched.where("not large").select("anchor", "content", "symbols").repartition("anchor").sortWithinPartitions("anchor", "content")
+    near = fetched.where("not large").select("anchor", "content", "place", "symbols").repartition("anchor").sortWithinPartitions("anchor", "content")
     partial = near.mapInArrow(compare, "anchor long, content long, x int, y int")
 
     def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

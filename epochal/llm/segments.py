@@ -51,12 +51,12 @@ PIECE = 1024
 
 
 def cut(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start, end of starts (exclusive) and anchor of each segment of many sequences laid end to end, and whether its
-    anchor's gram is there more than once: only then can two windows of one segment be equal. ``offsets`` are where the
-    sequences begin, and the end."""
+    """First start, end of starts (exclusive) and anchor of each segment of many sequences laid end to end, and the place of its
+    anchor's gram from the first start; -1 if the gram is there more than once: only then can two windows of one segment be
+    equal. ``offsets`` are where the sequences begin, and the end."""
     if len(symbols) < window:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(bool)
+        return none, none, none, none
     hashes = gram_hashes(symbols, gram) & ~_PLACES
     place = np.arange(len(hashes), dtype=np.uint64) & _PLACES
     reach = window - gram + 1
@@ -71,5 +71,7 @@ def cut(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tup
     of = np.repeat(np.arange(len(first)), pieces)
     a = first[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     b = np.minimum(a + PIECE, end[of])
-    inner = (left[a] & _PLACES) != _PLACES - (right[b - 1] & _PLACES)
-    return a, b, anchor[a].view(np.int64), inner
+    low = left[a] & _PLACES
+    once = low == _PLACES - (right[b - 1] & _PLACES)
+    place = np.where(once, (low.astype(np.int64) - a) & int(_PLACES), -1)
+    return a, b, anchor[a].view(np.int64), place
