@@ -45,8 +45,31 @@ def butter_sections(kind: str, cutoff: float | tuple[float, float], fs: float, o
     edges = np.atleast_1d(np.asarray(cutoff, dtype=float))
     if np.any(edges <= 0) or np.any(edges >= fs / 2):
         raise ValueError("cutoffs must lie between 0 and half the sampling rate")
+    return _sections(kind, edges, fs, np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)))
+
+
+def chebyshev_sections(order: int, ripple_db: float, cutoff: float) -> np.ndarray:
+    """Low-pass of the first Chebyshev kind; ``cutoff`` is a share of half the rate."""
+    eps = math.sqrt(10 ** (0.1 * ripple_db) - 1)
+    mu = math.asinh(1 / eps) / order
+    poles = -np.sinh(mu + 1j * np.pi * np.arange(-order + 1, order, 2) / (2 * order))
+    sections = _sections("lowpass", np.array([cutoff]), 2.0, poles)
+    if order % 2 == 0:
+        sections[0, :3] /= math.sqrt(1 + eps**2)
+    return sections
+
+
+def hamming_kernel(points: int, cutoff: float) -> np.ndarray:
+    """A low-pass of unit sum: a sinc under a Hamming window; ``cutoff`` is a share of half the rate."""
+    n = np.arange(points) - (points - 1) / 2
+    raw = cutoff * np.sinc(cutoff * n) * np.hamming(points)
+    return raw / raw.sum()
+
+
+def _sections(kind: str, edges: np.ndarray, fs: float, poles: np.ndarray) -> np.ndarray:
+    """Sections of the digital filter whose analog low-pass prototype has these poles, with unit gain in the pass band."""
+    order = len(poles)
     warped = 2 * fs * np.tan(np.pi * edges / fs)
-    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
     if kind in ("lowpass", "highpass"):
         analog = poles * warped[0] if kind == "lowpass" else warped[0] / poles
         zeros = [] if kind == "lowpass" else [0.0] * order
@@ -104,7 +127,7 @@ def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return y
 
 
-def _steady(sections: np.ndarray) -> np.ndarray:
+def steady_states(sections: np.ndarray) -> np.ndarray:
     """States in which each section rests at a constant input of one to the first."""
     state, level = [], 1.0
     for b0, b1, b2, _, a1, a2 in sections:
@@ -120,7 +143,7 @@ def forward_backward(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
     if pad > 0:
         x = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    rest = _steady(sections)
+    rest = steady_states(sections)
     y = _run(sections, x, rest * x[0])
     y = _run(sections, y[::-1], rest * y[-1])[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y

@@ -32,7 +32,7 @@ def posterior(counts: DataFrame, curves: DataFrame, bin_ns: int, bins: list[str]
         o = curves.groupBy(*bins).agg(F.max("occupancy").alias("_o"))
         total = o.agg(F.sum("_o").alias("_all"))
         o = o.crossJoin(F.broadcast(total)).select(*bins, F.ln(F.try_divide("_o", "_all")).alias("_prior"))  # one row
-        rows = rows.join(F.broadcast(o), bins).withColumn("_l", F.col("_l") + F.col("_prior"))
+        rows = rows.join(o, bins).withColumn("_l", F.col("_l") + F.col("_prior"))
     w = Window.partitionBy("epoch_id", "bin")
     rows = rows.withColumn("_e", F.exp(F.col("_l") - F.max("_l").over(w)))
     return rows.select("epoch_id", "bin", *bins, (F.col("_e") / F.sum("_e").over(w)).alias("p"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import union_all
+
 COMPARISONS = (">", "<", ">=", "<=")
 
 
@@ -43,12 +45,30 @@ def groupby_apply(samples: DataFrame, units: DataFrame, by: list[str], func: Cal
     return samples.join(units.select("unit", *by), "unit").groupBy(*by).applyInPandas(func, schema)
 
 
-def with_info(units: DataFrame, info: DataFrame) -> DataFrame:
-    """Units with further metadata by ``unit``; names that exist already are refused."""
-    clash = (set(info.columns) & set(units.columns)) - {"unit"}
+def with_info(units: DataFrame, info: DataFrame, key: str = "unit") -> DataFrame:
+    """Units (or columns, or epochs) with further metadata by ``key``; names that exist already are refused."""
+    clash = (set(info.columns) & set(units.columns)) - {key}
     if clash:
         raise ValueError(f"metadata {sorted(clash)} exists already")
-    return units.join(info, "unit", "left")
+    return units.join(info, key, "left")
+
+
+def set_info(units: DataFrame, key: str = "unit", **columns: object) -> DataFrame:
+    """Units with metadata set anew: an expression, a plain value for all, or a dict from key to value. ``rate`` stays as it is."""
+    if {"rate", key} & set(columns):
+        raise ValueError(f"{key} and rate cannot be set")
+    for name, v in columns.items():
+        if isinstance(v, dict):
+            rows = units.sparkSession.createDataFrame(list(v.items()), [key, name]).withColumn(key, F.col(key).cast(units.schema[key].dataType))
+            units = units.drop(name).join(rows, key, "left")
+        else:
+            units = units.withColumn(name, v if isinstance(v, Column) else F.lit(v))
+    return units
+
+
+def get_info(units: DataFrame, names: str | list[str], key: str = "unit") -> DataFrame:
+    """The key and the metadata asked for, in order of the key."""
+    return units.select(key, *([names] if isinstance(names, str) else names)).orderBy(key)
 
 
 def drop_info(units: DataFrame, names: list[str]) -> DataFrame:
@@ -62,8 +82,18 @@ def restrict_info(units: DataFrame, names: list[str]) -> DataFrame:
     return units.select(*dict.fromkeys(["unit", *[c for c in ("rate",) if c in units.columns], *names]))
 
 
-def merge_groups(groups: list[DataFrame], reset_index: bool = False) -> DataFrame:
-    """Samples of several groups as one. Units must differ, or are numbered anew in the order of groups and units."""
+def merge_groups(groups: list[DataFrame], reset_index: bool = False, supports: list[DataFrame] | None = None, reset_time_support: bool = False, ignore_metadata: bool = False) -> DataFrame:
+    """Samples of several groups as one. Units must differ, or are numbered anew in the order of groups and units.
+
+    ``supports`` are the groups' epochs, which must be the same unless ``reset_time_support`` is given (then use their
+    ``merged_support``). Columns beside unit and t_ns must be the same unless ``ignore_metadata`` is given, which drops them.
+    """
+    if supports and not reset_time_support and any(not _same_epochs(supports[0], e) for e in supports[1:]):
+        raise ValueError("groups differ in their support; pass reset_time_support to unite it")
+    if ignore_metadata:
+        groups = [g.select("unit", "t_ns") for g in groups]
+    elif any(set(g.columns) != set(groups[0].columns) for g in groups[1:]):
+        raise ValueError("groups differ in their columns; pass ignore_metadata to drop them")
     if reset_index:
         tagged = [g.withColumn("_g", F.lit(i)) for i, g in enumerate(groups)]
         rows = reduce(DataFrame.unionByName, tagged)
@@ -75,6 +105,16 @@ def merge_groups(groups: list[DataFrame], reset_index: bool = False) -> DataFram
     return reduce(DataFrame.unionByName, groups)
 
 
+def merged_support(supports: list[DataFrame]) -> DataFrame:
+    """The epochs of a merged group: the union of all."""
+    return union_all(supports)
+
+
+def _same_epochs(a: DataFrame, b: DataFrame) -> bool:
+    x, y = a.select("start_ns", "end_ns"), b.select("start_ns", "end_ns")
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+
+
 def subsample(samples: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Exactly ``round(n * fraction)``, half to even, of each unit's samples without replacement."""
     order = F.xxhash64(F.lit(seed), "unit", *[c for c in samples.columns if c != "unit"])

@@ -89,10 +89,13 @@ def set_diff(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFra
     by = by or []
     pieces = _sweep([a, b], by, "c0 > 0 and c1 = 0").drop("c0", "c1", "_joined")
     meta = [c for c in a.columns if c not in [*by, *EDGES, "epoch_id"]]
-    own = a.select(*by, F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"), *meta)
-    on = [pieces[k] == own[k] for k in by] + [pieces.start_ns >= own._s, pieces.end_ns <= own._e]
-    rows = pieces.join(own, reduce(lambda x, y: x & y, on)).select(*[pieces[k] for k in by], "start_ns", "end_ns", *meta) if meta else pieces
-    return numbered(_apart(rows, by), by).select(*by, "epoch_id", *EDGES, *meta)
+    if meta:
+        # a piece lies in one interval of a; they meet in the bucket where the piece starts
+        width = bucket_width(a)
+        own = in_buckets(a.select(*by, F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"), *meta), "_s", "_e", width)
+        found = pieces.withColumn("_bucket", F.floor(F.col("start_ns") / F.lit(float(width)))).join(own, [*by, "_bucket"])
+        pieces = found.where("start_ns >= _s and end_ns <= _e").select(*by, *EDGES, *meta)
+    return numbered(_apart(pieces, by), by).select(*by, "epoch_id", *EDGES, *meta)
 
 
 def intersect(a: DataFrame, b: DataFrame, by: list[str] | None = None, bucket_ns: int | None = None) -> DataFrame:
@@ -125,16 +128,17 @@ def in_buckets(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / F.lit(float(width))), F.floor(F.col(end) / F.lit(float(width))))))
 
 
-def split(df: DataFrame, size_ns: int) -> DataFrame:
+def split(df: DataFrame, size_ns: int, by: list[str] | None = None) -> DataFrame:
     """Consecutive pieces of exactly ``size_ns``, each end earlier by the gap; rests drop, and intervals no longer than that.
 
     Metadata is repeated.
     """
-    rest = [c for c in df.columns if c not in [*EDGES, "epoch_id"]]
+    by = by or []
+    rest = [c for c in df.columns if c not in [*by, *EDGES, "epoch_id"]]
     rows = df.where(F.col("end_ns") - F.col("start_ns") > size_ns)
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(end_ns - start_ns) div {size_ns} - 1"))))
-    rows = rows.select((F.col("start_ns") + F.col("_k") * size_ns).alias("start_ns"), (F.col("start_ns") + (F.col("_k") + 1) * size_ns - GAP_NS).alias("end_ns"), *rest)
-    return numbered(rows).select("epoch_id", *EDGES, *rest)
+    rows = rows.select(*by, (F.col("start_ns") + F.col("_k") * size_ns).alias("start_ns"), (F.col("start_ns") + (F.col("_k") + 1) * size_ns - GAP_NS).alias("end_ns"), *rest)
+    return numbered(rows, by).select(*by, "epoch_id", *EDGES, *rest)
 
 
 def merge_close(df: DataFrame, threshold_ns: int, by: list[str] | None = None) -> DataFrame:
@@ -171,6 +175,22 @@ def centers(df: DataFrame, alpha: float = 0.5) -> DataFrame:
     return df.withColumn("t_ns", F.col("start_ns") + F.bround((F.col("end_ns") - F.col("start_ns")) * F.lit(share), 0).cast("bigint"))
 
 
+def starts(df: DataFrame) -> DataFrame:
+    """Where the intervals start, as samples with their metadata."""
+    return df.drop("end_ns").withColumnRenamed("start_ns", "t_ns")
+
+
+def ends(df: DataFrame) -> DataFrame:
+    """Where the intervals end, as samples with their metadata."""
+    return df.drop("start_ns").withColumnRenamed("end_ns", "t_ns")
+
+
+def apply_edges(df: DataFrame, function, by: list[str] | None = None) -> DataFrame:
+    """An elementwise function (Column to Column) on both borders; what comes out is made valid again. Metadata drops."""
+    by = by or []
+    return normalize(df.select(*by, function(F.col("start_ns")).cast("bigint").alias("start_ns"), function(F.col("end_ns")).cast("bigint").alias("end_ns")), by)
+
+
 def find_support(samples: DataFrame, min_gap_ns: int, by: list[str] | None = None) -> DataFrame:
     """Epochs of samples that follow each other by at most ``min_gap_ns``; each end is later by the gap constant."""
     by = by or []

@@ -36,12 +36,33 @@ def get_closest(samples: DataFrame, at_ns: int, by: list[str] | None = None) ->
     return samples.groupBy(*by).agg(best).where("_b is not null").select(*by, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-def get_slice(samples: DataFrame, start_ns: int, end_ns: int, n_points: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """A range of time, thinned to every k-th sample so that about ``n_points`` stay: k is their number over ``n_points``."""
-    rows = get_range(samples, start_ns, end_ns)
+def get_slice(samples: DataFrame, start_ns: int, end_ns: int | None = None, n_points: int | None = None, by: list[str] | None = None, mode: str = "restrict") -> DataFrame:
+    """The samples of each key from one time to another.
+
+    ``restrict`` takes those within the closed range. ``before_t``, ``after_t`` and ``closest_t`` move both ends to a sample: the
+    last up to it, the first from it on, or the nearest; the sample at the end is left out, and without an end the one at the
+    start is all. ``n_points`` thins to every k-th sample, so that about so many stay: k is their number over ``n_points``.
+    """
+    if end_ns is None and n_points:
+        raise ValueError("n_points needs an end")
+    if end_ns is not None and start_ns > end_ns:
+        raise ValueError("start is later than end")
+    by = by or []
+    if mode == "restrict":
+        if end_ns is None:
+            raise ValueError("restrict needs an end")
+        rows = get_range(samples, start_ns, end_ns)
+    else:
+        ends = samples.groupBy(*by).agg(*[_nearest(t, mode).alias(n) for t, n in ((start_ns, "_a"), (start_ns if end_ns is None else end_ns, "_z"))])
+        # a row per key; before its first sample a range begins at that, and after its last there is none
+        rows = samples.join(ends, by) if by else samples.crossJoin(F.broadcast(ends))
+        low = F.coalesce("_a", F.lit(-(1 << 63))) if mode == "before_t" and end_ns is not None else F.col("_a")
+        high = F.coalesce("_z", F.lit((1 << 63) - 1)) if mode == "after_t" and end_ns is not None else F.col("_z")
+        rows = rows.where((F.col("t_ns") >= low) & ((F.col("t_ns") == F.col("_a")) if end_ns is None else (F.col("t_ns") < high))).drop("_a", "_z")
+        if end_ns is None:
+            rows = rows.dropDuplicates([*by, "t_ns"])
     if n_points is None:
         return rows
-    by = by or []
     w = _window(by, "t_ns")
     total = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
     rows = rows.withColumns({"_r": F.row_number().over(w) - 1, "_n": total})
@@ -50,6 +71,28 @@ def get_slice(samples: DataFrame, start_ns: int, end_ns: int, n_points: int | No
     return rows.where((F.col("_r") < used) & (F.col("_r") % step == 0)).drop("_r", "_n")
 
 
+def _nearest(at_ns: int, mode: str) -> Column:
+    """The time of the sample that a mode chooses, as an aggregate."""
+    t = F.col("t_ns")
+    table = {"before_t": F.max(F.when(t <= at_ns, t)), "after_t": F.min(F.when(t >= at_ns, t)), "closest_t": F.min_by(t, F.struct(F.abs(t - at_ns), -t))}
+    if mode not in table:
+        raise ValueError(f"mode {mode!r} is none of restrict, {', '.join(table)}")
+    return table[mode]
+
+
+def fillna(samples: DataFrame, value: float) -> DataFrame:
+    """Events as a signal that has this value at each of them."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        raise TypeError("only a number can be filled in")
+    return samples.withColumn("v", F.lit(float(value)))
+
+
+def assign(samples: DataFrame, where: Column | str, value: Column | float, column: str = "v") -> DataFrame:
+    """The samples with another value where a condition holds."""
+    condition = F.expr(where) if isinstance(where, str) else where
+    return samples.withColumn(column, F.when(condition, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(column)))
+
+
 def n_bins(length: Column, bin_ns: int) -> Column:
     """Bins of an epoch of that length: those whose centre is not after its end."""
     return F.when(2 * length < bin_ns, 0).when(length <= bin_ns, 1).otherwise(F.expr(f"(2 * (end_ns - start_ns) - {bin_ns}) div {2 * bin_ns} + 1")).cast("bigint")
@@ -189,21 +232,53 @@ def dropna_support(samples: DataFrame, value: str = "v", by: list[str] | None =
     return numbered(rows, by).select(*by, "epoch_id", "start_ns", "end_ns")
 
 
+#: Kernels up to this length are window expressions; longer ones go over blocks of this many samples.
+SHORT_KERNEL, BLOCK = 64, 1 << 14
+
+
 def convolve(samples: DataFrame, kernel: list[float], by: list[str], value: str = "v", trim: str = "both", out: str = "v") -> DataFrame:
-    """Convolution of each group with a short kernel, by position, zero outside, cut to the group's length."""
+    """Convolution of each group with a kernel, by position, zero outside, cut to the group's length.
+
+    A long kernel is applied to blocks of a group, each with the neighbours that it needs, so no task holds a whole recording.
+    """
     k = len(kernel)
     offset = {"both": (k - 1) // 2, "left": k - 1, "right": 0}[trim]
     w = _window(by, "t_ns")
+    if k > SHORT_KERNEL:
+        return _convolve_blocks(samples.withColumn("_r", F.row_number().over(w) - 1), kernel, offset, by, value, out)
     window = w.rowsBetween(offset - k + 1, offset)
     place = F.row_number().over(w)
-    size = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    rows = samples.withColumns({"_near": F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(window), "_r": place, "_n": size})
+    rows = samples.withColumns({"_near": F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(window), "_r": place})
     # out[i] = sum_j a[j] x[i + offset - j]; the list may lack elements at either end
     missing = F.greatest(F.lit(k - 1 - offset) - (F.col("_r") - 1), F.lit(0))
     turned = F.array(*[F.lit(float(a)) for a in kernel[::-1]])
     part = F.slice(turned, missing + 1, F.size("_near"))
     total = F.aggregate(F.zip_with("_near", part, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return rows.withColumn(out, total).drop("_near", "_r", "_n")
+    return rows.withColumn(out, total).drop("_near", "_r")
+
+
+def _convolve_blocks(rows: DataFrame, kernel: list[float], offset: int, by: list[str], value: str, out: str) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    k = len(kernel)
+    weights = np.asarray(kernel, dtype=float)
+    # out[i] needs x[i + offset - k + 1 .. i + offset]
+    rows = rows.withColumn(out, F.col(value).cast("double")) if out != value else rows.withColumn(value, F.col(value).cast("double"))
+    first, last = F.expr(f"greatest(_r - {offset}, 0) div {BLOCK}"), F.expr(f"(_r - {offset} + {k - 1}) div {BLOCK}")
+    spread = rows.withColumn("_block", F.explode(F.sequence(first, last)))
+    schema = rows.drop("_r").schema
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_r", kind="stable")
+        r, block = frame["_r"].to_numpy(), int(frame["_block"].iloc[0])
+        x = np.zeros(BLOCK + k - 1)
+        x[r - block * BLOCK - offset + k - 1] = frame[value].fillna(0.0).to_numpy()
+        own = frame[(r >= block * BLOCK) & (r < (block + 1) * BLOCK)].copy()
+        own[out] = np.convolve(x, weights, "valid")[own["_r"].to_numpy() - block * BLOCK]
+        return own[[f.name for f in schema]]
+
+    return spread.groupBy(*by, "_block").applyInPandas(run, schema)
 
 
 def gaussian_kernel(sigma: float, size: int) -> list[float]:

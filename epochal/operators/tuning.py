@@ -47,7 +47,7 @@ def tuning_curves(group: DataFrame, features: DataFrame, epochs: DataFrame, edge
     hits = asof(tag(group.select("unit", "t_ns"), epochs), seen, "closest", ["epoch_id"], "_f")
     counts = _with_bins(hits, edges, "matched").groupBy("unit", *bins).agg(F.count("*").alias("n"))
     grid = _grid(group.select("unit").distinct(), edges)
-    rows = grid.join(counts, ["unit", *bins], "left").join(F.broadcast(occupancy(features, epochs, edges)), bins, "left")  # as many rows as bins
+    rows = grid.join(counts, ["unit", *bins], "left").join(occupancy(features, epochs, edges), bins, "left")
     rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "occupancy": F.coalesce("occupancy", F.lit(0))})
     value = F.col("n").cast("double") if return_counts else F.try_divide("n", "occupancy") * F.lit(float(fs))
     return rows.select("unit", *bins, F.col("occupancy").cast("bigint").alias("occupancy"), value.alias("value"))
@@ -61,7 +61,7 @@ def tuning_curves_continuous(signal: DataFrame, features: DataFrame, epochs: Dat
     hits = asof(tag(signal.select(*by, "t_ns", value), epochs), seen, "closest", ["epoch_id"], "_f")
     means = _with_bins(hits, edges, "matched").groupBy(*by, *bins).agg(F.avg(value).alias("value"))
     grid = _grid(signal.select(*by).distinct() if by else signal.sparkSession.range(1).drop("id"), edges)
-    rows = grid.join(means, [*by, *bins], "left").join(F.broadcast(occupancy(features, epochs, edges)), bins, "left")
+    rows = grid.join(means, [*by, *bins], "left").join(occupancy(features, epochs, edges), bins, "left")
     return rows.select(*by, *bins, F.coalesce("occupancy", F.lit(0)).cast("bigint").alias("occupancy"), F.expr("if(coalesce(occupancy, 0) = 0, null, coalesce(value, 0D))").alias("value"))
 
 

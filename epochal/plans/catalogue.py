@@ -196,21 +196,14 @@ def iset_merge_close(spark, sf_dir):
     return intervals.merge_close(_a(spark, sf_dir), 30 * HOUR, ["unit"])
 
 
-def _one_unit(spark, sf_dir):
-    return _a(spark, sf_dir).where("unit = 7").drop("unit")
-
-
-_ONE = "CAST(row_number() OVER (ORDER BY start_ns, end_ns) - 1 AS INT) AS epoch_id"
-
-
-@query(f"WITH {X}, {_A} SELECT {_ONE}, start_ns, end_ns FROM a WHERE unit = 7 AND end_ns - start_ns > {2 * HOUR}")
+@query(f"WITH {X}, {_A} SELECT unit, {_NUMBER}, start_ns, end_ns FROM a WHERE end_ns - start_ns > {2 * HOUR}")
 def iset_drop_short(spark, sf_dir):
-    return intervals.drop_short(_one_unit(spark, sf_dir), 2 * HOUR)
+    return intervals.drop_short(_a(spark, sf_dir), 2 * HOUR, ["unit"]).select("unit", "epoch_id", "start_ns", "end_ns")
 
 
-@query(f"WITH {X}, {_A} SELECT {_ONE}, start_ns, end_ns FROM a WHERE unit = 7 AND end_ns - start_ns < {20 * HOUR}")
+@query(f"WITH {X}, {_A} SELECT unit, {_NUMBER}, start_ns, end_ns FROM a WHERE end_ns - start_ns < {20 * HOUR}")
 def iset_drop_long(spark, sf_dir):
-    return intervals.drop_long(_one_unit(spark, sf_dir), 20 * HOUR)
+    return intervals.drop_long(_a(spark, sf_dir), 20 * HOUR, ["unit"]).select("unit", "epoch_id", "start_ns", "end_ns")
 
 
 @query(f"WITH {X}, {_A} SELECT CAST(sum(end_ns - start_ns) AS BIGINT) AS tot_ns FROM a")

@@ -91,6 +91,8 @@ def smooth_gaussian(spark, sf_dir):
 
 
 _LOW = signal.sinc_filter("lowpass", 0.1 * DAYS, DAYS, 0.2).tolist()
+_HIGH = signal.sinc_filter("highpass", 0.1 * DAYS, DAYS, 0.2).tolist()
+_STOP = signal.sinc_filter("bandstop", (0.05 * DAYS, 0.2 * DAYS), DAYS, 0.2).tolist()
 _BAND = signal.sinc_filter("bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS, 0.2).tolist()
 
 
@@ -104,24 +106,69 @@ def filter_sinc_band(spark, sf_dir):
     return filtering.apply_filter(daily(spark, sf_dir), "bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS, ["epoch_id"], "sinc", transition=0.2).select("t_ns", F.round("v", 6).alias("v"))
 
 
-@query()
+def _sections_sql(sections: np.ndarray, source: str, down: int = 1) -> str:
+    """A filter run in both directions over (t_ns, v), written as recurrences: the ends are continued by their point reflection,
+    and every section starts in the state in which it rests at the first value."""
+    pad, rest = 3 * (2 * len(sections) + 1), signal.steady_states(sections).tolist()
+    ctes = [
+        f"s0 AS (SELECT v, row_number() OVER (ORDER BY t_ns) - 1 AS r, count(*) OVER () AS n FROM {source})",
+        "fl AS (SELECT max(n) AS n, max(v) FILTER (r = 0) AS a, max(v) FILTER (r = n - 1) AS z FROM s0)",
+        f"p0 AS (SELECT r + {pad} AS i, v FROM s0 UNION ALL SELECT {pad} - r, 2 * a - v FROM s0, fl WHERE r BETWEEN 1 AND {pad} UNION ALL SELECT {pad} + 2 * (fl.n - 1) - r, 2 * z - v FROM s0, fl WHERE r BETWEEN fl.n - 1 - {pad} AND fl.n - 2)",
+    ]
+
+    def run(name: str, before: str, way: str) -> str:
+        """All sections at once over i ascending: y of section k feeds section k + 1 in the same step."""
+        rows = f"{name}o AS (SELECT v, row_number() OVER (ORDER BY i {way}) AS i FROM {before})"
+        step, start, y, first = [], [], "x.v", f"(SELECT v FROM {name}o WHERE i = 1)"
+        outs = []
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(sections.tolist()):
+            outs.append(f"({b0!r} * {y} + f.p{k})")
+            y = outs[-1]
+        # states follow from inputs and outputs of the step
+        inputs = ["x.v", *outs[:-1]]
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(sections.tolist()):
+            step += [f"{b1!r} * {inputs[k]} - {a1!r} * {outs[k]} + f.q{k}", f"{b2!r} * {inputs[k]} - {a2!r} * {outs[k]}"]
+            start += [f"{rest[k][0]!r} * {first} AS p{k}", f"{rest[k][1]!r} * {first} AS q{k}"]
+        return f"{rows}, {name} AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS v, {', '.join(start)} UNION ALL SELECT x.i, {outs[-1]}, {', '.join(step)} FROM {name} f JOIN {name}o x ON x.i = f.i + 1)"
+
+    ctes += [run("fw", "p0", "ASC"), "fwd AS (SELECT * FROM fw WHERE i > 0)", run("bw", "fwd", "DESC")]
+    last = f"SELECT s.t_ns, round(b.v, 6) AS v FROM (SELECT t_ns, row_number() OVER (ORDER BY t_ns) - 1 AS r FROM {source}) s, fl JOIN bw b ON b.i = fl.n + {pad} - s.r WHERE s.r % {down} = 0"
+    return f"WITH RECURSIVE {D}, {', '.join(ctes)} {last}"
+
+
+@query(_sections_sql(signal.butter_sections("lowpass", 0.1 * DAYS, DAYS), "d"))
 def filter_butter_low(spark, sf_dir):
     return filtering.apply_filter(daily(spark, sf_dir), "lowpass", 0.1 * DAYS, DAYS, ["epoch_id"]).select("t_ns", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(_sections_sql(signal.butter_sections("bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS), "d"))
 def filter_butter_band(spark, sf_dir):
     return filtering.apply_filter(daily(spark, sf_dir), "bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS, ["epoch_id"]).select("t_ns", F.round("v", 6).alias("v"))
 
 
-@query()
+@query("SELECT range * 50.0::DOUBLE / 1024 AS freq, round(1 / sqrt(1 + pow(tan(pi() * range * 50.0::DOUBLE / 1024 / 100) / tan(pi() * 10 / 100), 8)), 9) AS gain FROM range(1024)")
 def filter_frequency_response(spark, sf_dir):
-    return spark.createDataFrame(signal.frequency_response("lowpass", 10.0, 100.0), "freq double, gain double")
+    return spark.createDataFrame(signal.frequency_response("lowpass", 10.0, 100.0), "freq double, gain double").select("freq", F.round("gain", 9).alias("gain"))
 
 
-@query()
+@query(f"WITH {D} SELECT t_ns, round(v, 6) AS v FROM ({_conv_sql(_HIGH)})")
+def filter_sinc_high(spark, sf_dir):
+    return filtering.apply_filter(daily(spark, sf_dir), "highpass", 0.1 * DAYS, DAYS, ["epoch_id"], "sinc", transition=0.2).select("t_ns", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {D} SELECT t_ns, round(v, 6) AS v FROM ({_conv_sql(_STOP)})")
+def filter_sinc_stop(spark, sf_dir):
+    return filtering.apply_filter(daily(spark, sf_dir), "bandstop", (0.05 * DAYS, 0.2 * DAYS), DAYS, ["epoch_id"], "sinc", transition=0.2).select("t_ns", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {D}, f AS ({_conv_sql(signal.hamming_kernel(9, 0.25).tolist())}) SELECT t_ns, round(v, 6) AS v FROM f QUALIFY (row_number() OVER (ORDER BY t_ns) - 1) % 4 = 0")
+def decimate_fir(spark, sf_dir):
+    return filtering.decimate(daily(spark, sf_dir), 4, ["epoch_id"], filter_type="fir").select("t_ns", F.round("v", 6).alias("v"))
+
+
+@query(_sections_sql(signal.chebyshev_sections(8, 0.05, 0.2), "d", 4))
 def decimate(spark, sf_dir):
-    return filtering.decimate(daily(spark, sf_dir), 4, DAYS, ["epoch_id"]).select("t_ns", F.round("v", 6).alias("v"))
+    return filtering.decimate(daily(spark, sf_dir), 4, ["epoch_id"]).select("t_ns", F.round("v", 6).alias("v"))
 
 
 def _one_span(spark, sf_dir):
@@ -189,22 +236,37 @@ def warp_signal(spark, sf_dir):
     return warping.warp_signal(events(spark, sf_dir), epochs(spark), 4).withColumn("v", F.round("v", 6))
 
 
-@query()
+def _uniform_sql(*keys: str) -> str:
+    """The engine's uniform numbers for seed 1."""
+    return f"(('0x' || substr(md5(concat_ws(':', '1', {', '.join(keys)})), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
+
+
+_FIRST, _LAST = ORIGIN, ORIGIN + 59 * 12 * HOUR + 6 * HOUR
+_APART = "a AS (SELECT unit, t_ns, row_number() OVER (PARTITION BY unit, t_ns) AS k FROM tr)"
+
+
+@query(
+    f"WITH {T}, {E}, s AS (SELECT unit, t_ns + {HOUR} + CAST(floor({_uniform_sql('unit')} * {19 * HOUR}) AS BIGINT) AS t FROM tr), w AS (SELECT unit, {_FIRST} + ((t - {_FIRST}) % {_LAST - _FIRST} + {_LAST - _FIRST}) % {_LAST - _FIRST} AS t_ns FROM s) "
+    "SELECT unit, t_ns FROM w SEMI JOIN e ON w.t_ns BETWEEN e.start_ns AND e.end_ns"
+)
 def shift_timestamps(spark, sf_dir):
     return randomize.shift_timestamps(trains(spark, sf_dir).select("unit", "t_ns"), epochs(spark), HOUR, 20 * HOUR, "wrap", seed=1)
 
 
-@query()
+@query(
+    f"WITH {T}, r AS (SELECT unit, t_ns, row_number() OVER w AS r, t_ns - lag(t_ns) OVER w AS d, min(t_ns) OVER (PARTITION BY unit) AS t0 FROM tr WINDOW w AS (PARTITION BY unit ORDER BY t_ns)), "
+    f"k AS (SELECT *, CASE WHEN d IS NULL THEN -1 ELSE {_uniform_sql('unit', 'r')} END AS k FROM r) SELECT unit, CAST(t0 + sum(coalesce(d, 0)) OVER (PARTITION BY unit ORDER BY k, r) AS BIGINT) AS t_ns FROM k"
+)
 def shuffle_intervals(spark, sf_dir):
     return randomize.shuffle_intervals(trains(spark, sf_dir).select("unit", "t_ns"), seed=1)
 
 
-@query()
+@query(f"WITH {T}, {_APART} SELECT unit, t_ns + CAST(floor((2 * {_uniform_sql('unit', 't_ns', 'k')} - 1) * {HOUR}) AS BIGINT) AS t_ns FROM a")
 def jitter_timestamps(spark, sf_dir):
     return randomize.jitter_timestamps(trains(spark, sf_dir).select("unit", "t_ns"), HOUR, seed=1)
 
 
-@query()
+@query(f"WITH {T}, {_APART} SELECT unit, {ORIGIN} + CAST(floor({_uniform_sql('unit', 't_ns', 'k')} * {30 * DAY}) AS BIGINT) AS t_ns FROM a")
 def resample_timestamps(spark, sf_dir):
     return randomize.resample_timestamps(trains(spark, sf_dir).select("unit", "t_ns"), ORIGIN, ORIGIN + 30 * DAY, seed=1)
 
