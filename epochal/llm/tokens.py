@@ -55,17 +55,17 @@ class Encoder:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def one_token_pieces(self) -> dict[str, int]:
-        """Plain pre-tokens that are one entry of the vocabulary: those that were frequent enough to become one."""
-        found = {}
-        for raw in self.vocabulary:
-            try:
-                piece = raw.decode()
-            except UnicodeDecodeError:
-                continue
-            if _PLAIN.fullmatch(piece) and PLAIN_PATTERN.findall(piece) == [piece]:
-                found[piece] = len(self.fast.encode_ordinary(piece))
-        return found
+    @property
+    def split_exactly(self) -> bool:
+        """Whether the library's own pre-tokens of a text are all that its count depends on."""
+        return self.exact.normalizer is None and self.exact.pre_tokenizer is not None
+
+    def exact_pieces(self, text: str) -> list[str]:
+        """The library's pre-tokens of a text without special strings, in its byte alphabet."""
+        return [p for p, _ in self.exact.pre_tokenizer.pre_tokenize_str(text)]
+
+    def exact_length(self, piece: str) -> int:
+        return len(self.exact.model.tokenize(piece))
 
 
 @lru_cache(maxsize=4)

@@ -55,6 +55,18 @@ def test_counts_equal_library(spark):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512), (i, t)
 
 
+def test_both_tiers(spark):
+    """Tier one holds lengths of frequent pre-tokens of every script, and counts do not depend on what the tiers hold."""
+    from epochal.llm import tokencount
+
+    texts = ["the straightforwardness of it " * 5, "привет мир 你好 " * 7, "ก ข ค привет", "a <|endoftext|> b", "x\u2003y", "Ġ natural", ""]
+    plain, exact = tokencount.frequent_lengths(frame(spark, texts), queries.TOKENIZER)
+    assert plain[" straightforwardness"] > 1 and any(n > 1 for n in exact.values()) and len(exact) > 5
+    for sample in (0, 1, 2000):
+        got = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, texts), queries.TOKENIZER, sample_documents=sample).collect()}
+        assert got == {i: len(EXACT.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def brute_rules(t):
     t = t or ""
     w = words(t)
