@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import SECOND
-from . import neuroscope, optional
+from . import neuroscope, recordings
 from .arrays import load_bundle, load_file
+from .containers import load_container
 
 #: Kinds whose processed data lie in an NWB container, with the time series that hold them.
 CONTAINERS = {"phy": "Units", "suite2p": "RoiResponseSeries", "inscopix-cnmfe": "RoiResponseSeries", "cnmfe-matlab": "RoiResponseSeries", "minian": "RoiResponseSeries"}
@@ -30,14 +31,21 @@ def load_folder(spark: SparkSession, path: str) -> dict:
 
 
 def load_session(spark: SparkSession, path: str, kind: str | None = None) -> dict[str, DataFrame | dict]:
-    """A session folder. ``neurosuite``: header, spikes of all shanks (shank, unit, t_ns) and hand-made epochs by name; kinds kept
-    in NWB containers need that library; without a kind, what ``load_folder`` finds."""
+    """A session folder. ``neurosuite``: header, spikes of all shanks (shank, unit, t_ns) and hand-made epochs by name. ``phy`` and
+    ``suite2p``: what these programs write themselves, where it is there. ``base``: position, epochs and their common support.
+    Other kinds are kept in NWB containers and need that library; without a kind, what ``load_folder`` finds."""
     if kind is None:
         return load_folder(spark, path)
+    if kind == "base":
+        return load_base(spark, path)
+    if kind == "phy" and (Path(path) / "spike_times.npy").exists():
+        return recordings.load_phy(spark, path)
+    if kind == "suite2p" and any(Path(path).rglob("F.npy")):
+        return recordings.load_suite2p(spark, path)
     if kind in CONTAINERS:
         return load_container(spark, path, CONTAINERS[kind])
     if kind != "neurosuite":
-        raise ValueError(f"session {kind!r} is none of neurosuite, {', '.join(CONTAINERS)}")
+        raise ValueError(f"session {kind!r} is none of base, neurosuite, {', '.join(CONTAINERS)}")
     root = Path(path)
     headers = sorted(root.glob("*.xml"))
     if not headers:
@@ -64,26 +72,27 @@ def regular_series(spark: SparkSession, values: list[float], rate_hz: float, sta
     return spark.createDataFrame(rows, T.StructType([T.StructField("t_ns", T.LongType()), T.StructField("v", T.DoubleType())]))
 
 
-def load_container(spark: SparkSession, path: str, wanted: str | None = None) -> dict[str, DataFrame]:
-    """Time series, intervals and units of an NWB file as DataFrames, where the library is installed.
-
-    Timestamps are taken as stored, or made from the starting time and the rate.
-    """
-    import numpy as np
-
-    pynwb = optional("pynwb")
-    out: dict[str, DataFrame] = {}
-    with pynwb.NWBHDF5IO(path, "r", load_namespaces=True) as io:
-        for item in io.read().objects.values():
-            kind = type(item).__name__
-            if wanted and kind != wanted:
-                continue
-            if kind == "TimeIntervals":
-                out[item.name] = spark.createDataFrame([(i, round(a * SECOND), round(b * SECOND)) for i, (a, b) in enumerate(zip(item["start_time"][:], item["stop_time"][:]))], "epoch_id int, start_ns long, end_ns long")
-            elif kind == "Units":
-                out["units"] = spark.createDataFrame([(int(u), round(t * SECOND)) for u in range(len(item)) for t in item["spike_times"][u]], "unit int, t_ns long")
-            elif hasattr(item, "data") and hasattr(item, "rate"):
-                data = np.asarray(item.data[:], dtype=float).reshape(len(item.data), -1)
-                t = np.asarray(item.timestamps[:]) if item.timestamps is not None else item.starting_time + np.arange(len(data)) / item.rate
-                out[item.name] = spark.createDataFrame([(round(a * SECOND), str(k), float(v)) for a, row in zip(t, data) for k, v in enumerate(row)], "t_ns long, col string, v double")
+def session_support(epochs: DataFrame) -> DataFrame:
+    """One epoch for all of a session's epochs that follow each other by no more than the gap constant."""
+    from ..operators.intervals import GAP_NS, merge_close, normalize
+
+    return merge_close(normalize(epochs), GAP_NS)
+
+
+def load_base(spark: SparkSession, path: str) -> dict[str, DataFrame | dict]:
+    """``position`` (t_ns and its columns) and ``epochs`` by label, from the bundle ``session.bundle`` of a folder, with the support
+    of the session."""
+    parts = load_bundle(spark, f"{path}/session.bundle")
+    out: dict = dict(parts)
+    if "epochs" in parts:
+        labels = [r.label for r in parts["epochs"].select("label").distinct().orderBy("label").collect()]  # names given by hand
+        out["epochs"] = {label: parts["epochs"].where(F.col("label") == label) for label in labels}
+        out["time_support"] = session_support(parts["epochs"])
     return out
+
+
+def save_base(spark: SparkSession, path: str, epochs: DataFrame, position: DataFrame | None = None, **more: DataFrame) -> None:
+    """A session as ``load_base`` reads it; ``epochs`` have a column ``label``."""
+    from .arrays import save_bundle
+
+    save_bundle(spark, f"{path}/session.bundle", {"epochs": epochs, **({"position": position} if position is not None else {}), **more})
