@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of, unused
+from .shared import give_back, text_of, unused
 
 #: Lines of a piece of training text; bytes of text whose features are made at once.
-PIECE, SLICE_BYTES = 64, 1 << 21
+PIECE, SLICE_BYTES = 64, 1 << 19
 
 _OTHER, _UPPER, _LOWER, _DIGIT, _WHITE, _BANG, _PIPE, _SYMBOL, _END = range(9)
 
@@ -303,6 +303,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docume
                 counts = np.bincount(doc, minlength=part.num_rows)
                 s = field.value.scores(field.value.means(counts, size, features))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        give_back()
 
     held_out = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
@@ -325,5 +326,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_do
                 s = field.value.scores(field.value.means(np.bincount(doc, minlength=part.num_rows), size, features))
                 kept = part.filter(pa.array(s >= threshold))
                 yield pa.RecordBatch.from_arrays(kept.columns[:at], schema=pa.schema(list(kept.schema)[:at]))
+        give_back()
 
     return own.mapInArrow(run, type(schema)(schema.fields[:-1]))

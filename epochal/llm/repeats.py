@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .external import Space
 from .segments import cut, gram_hashes
-from .shared import durable, new_path, text_of
+from .shared import durable, give_back, new_path, text_of
 
 #: Symbols of an anchor's distinct segments beyond which they are cut further; bytes of texts that are cut together.
 GROUP_SYMBOLS, CUT_BYTES = 1 << 20, 1 << 20
@@ -196,6 +196,7 @@ def repeated_spans(rows: DataFrame, symbols: Symbols, window: int, gram: int, ke
                 yield from results()
         finally:
             space.close()
+        give_back()
 
     near = fetched.where("not large").select("anchor", "content", "place", "symbols").repartition("anchor").sortWithinPartitions("anchor", "content")
     partial = near.mapInArrow(compare, "anchor long, content long, x int, y int")

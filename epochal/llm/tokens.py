@@ -44,7 +44,6 @@ class Encoder:
         alphabet = _bytes_of_chars()
         ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.vocabulary = ranks
 
     def plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
