@@ -65,9 +65,9 @@ def numpy_matmul(spark, sf_dir):
     return _x(spark, sf_dir).withColumn("w", F.col("v") / 2).select("unit", "t_ns", F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
 
 
-@query(f"WITH {D} SELECT t_ns, round(coalesce(lag(v) OVER w, 0) * 1 + v * 2 + coalesce(lead(v) OVER w, 0) * 4, 6) AS v FROM d WINDOW w AS (ORDER BY t_ns)")
+@query(f"WITH {D} SELECT t_ns, round(coalesce(lag(v) OVER w, 0) * 1 + v * 2 + coalesce(lead(v) OVER w, 0) * 4, 9) AS v FROM d WINDOW w AS (ORDER BY t_ns)")
 def numpy_correlate(spark, sf_dir):
-    return columns.correlate(daily(spark, sf_dir), [1.0, 2.0, 4.0], ["epoch_id"]).select("t_ns", F.round("v", 6).alias("v"))
+    return columns.correlate(daily(spark, sf_dir), [1.0, 2.0, 4.0], ["epoch_id"]).select("t_ns", F.round("v", 9).alias("v"))
 
 
 @query(f"WITH {D} SELECT t_ns, 0 AS i, v FROM d UNION ALL SELECT t_ns, 1 AS i, v * 2 AS v FROM d")
