@@ -5,7 +5,8 @@ greatest length as fit, then the binary digits of the rest from the greatest dow
 sequence crosses documents and none needs padding; sequences of equal length share a bucket, from which a trainer draws
 batches of one shape. The work is one pass over the documents without a shuffle.
 
-Null texts count as empty and give the end id alone. Repeated rows give repeated pieces with sequences of their own.
+Null texts count as empty and give the end id alone. Repeated rows give repeated pieces with sequences of their own; texts of any
+length are cut whole. Other columns of the documents are not read, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ chain of transducers rewrites the text: look-alike characters to ASCII, spelled
 their signs. Each transducer carries, for every character it puts out, the span of the source it came from, so what the same
 rules find in the rewritten text maps back to source characters. Base spans always stay; disguised ones are added.
 
-One pass over the documents, no shuffle. Null texts count as empty and have no spans.
+One pass over the documents, no shuffle. Null texts count as empty and have no spans; texts of any length are read whole;
+repeated rows are judged each. Other columns of the documents are kept or not read, whatever their names. Of spans that overlap
+both stay; masking replaces them as one.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _plain_char(c: str) -> str:
         return ""
     if c in _LOOKALIKES:
         return _LOOKALIKES[c]
-    if unicodedata.category(c) == "Pd":
+    if unicodedata.category(c) == "Pd" or c == "\u2212":  # dashes, and the minus sign
         return "-"
     if (d := unicodedata.decimal(c, None)) is not None:
         return str(d)
@@ -146,6 +148,7 @@ _PLUS = re.compile(rf"\bplus\s+(?=\d|{_DIGIT}\b)", re.I)
 _SPELLED = re.compile(rf"\b{_DIGIT}(?:[\s,-]*\b{_DIGIT})*\b", re.I)
 _BESIDE = re.compile(rf"(?:(?<=\d)[\s,-]+(?={_DIGIT}\b))|(?:(?<=\d)(?<!\s)-?\s*\b(?={_DIGIT}\b))", re.I)
 _AT = re.compile(_SIGN.format("at|@|arroba|arobase") + r"|(?<=[\w.%+-])\s+at\s+(?!(?:the|a|an|this|that|my|your|our|its|any|each|one)\b)(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[(\[{<]\s*dot))", re.I)
+_AT_DOMAIN = re.compile(r"(?<=[\w.%+-])\s+at\s+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))", re.I)
 _DOT = re.compile(_SIGN.format(r"dot|\.|punto|point|punkt") + r"|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _WORDS = re.compile(_DIGIT, re.I)
 
@@ -170,6 +173,15 @@ _LONE = re.compile(rf"(?:(?<=[\d.+])|(?<=\d[\s-]))\b{_DIGIT}\b|\b{_DIGIT}\b(?=[\
 def normalise(text: str) -> Tape:
     """The text as a reader would read it, in ASCII where a disguise is known."""
     tape = Tape.of(text).rewrite(_OTHER, lambda m: _plain_char(m.group()))
+    plain = tape
+
+    def at_disguised(m: re.Match) -> str:
+        """A written "at" before a domain with its dots stands for the sign only where the domain is disguised itself."""
+        a, b = plain.source(m.start(1), m.end(1))
+        return m.group() if text[a:b] == m.group(1) else "@"
+
+    if tape.text != text:
+        tape = tape.rewrite(_AT_DOMAIN, at_disguised)
     tape = tape.rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".").rewrite(_PLUS, lambda m: "+")
     return tape.rewrite(_SPELLED, _digits).rewrite(_LONE, _one_digit)
 

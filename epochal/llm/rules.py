@@ -3,7 +3,9 @@
 The ledger keeps the measurements and one bit per failed rule. Policies are versioned masks over those bits, so trying
 another policy, or asking what a rule does to it, reads the ledger and never the texts again. No step shuffles texts.
 
-Null and empty texts have no words and fail ``few_words``; repeated rows are judged each.
+Null and empty texts have no words and fail ``few_words``; repeated rows are judged each; of equal lines or windows all but the
+first count as repeats, or all, as the measurement says. Texts of any length are measured whole. Other columns of the documents
+are not read, whatever their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations

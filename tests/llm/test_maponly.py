@@ -55,6 +55,12 @@ def test_counts_equal_library(spark):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512), (i, t)
 
 
+def test_minus_signs_and_disguised_domains(spark):
+    texts = ["call +1 555\u2212123\u22124567 now", "card 4111\u22121111\u22121111\u22121111", "write jane at ex\u0430mple.com", "look at example.com", "meet at the caf\u00e9 or at example.com"]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert got[0].startswith("phone:5:") and got[1].startswith("card:5:") and got[2] == "email:6:25" and not got[3] and not got[4]
+
+
 def test_both_tiers(spark):
     """Tier one holds lengths of frequent pre-tokens of every script, and counts do not depend on what the tiers hold."""
     from epochal.llm import tokencount

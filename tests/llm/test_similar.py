@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from epochal.llm import simhash, similar
 
@@ -69,21 +71,48 @@ def test_near_copies_and_odd_rows(spark):
 
 def test_large_groups_keep_one(spark):
     rng = random.Random(8)
-    texts = near_copies(rng, 3 * similar.WHOLE_BUCKET, 1)
+    texts = near_copies(rng, 200, 1)
     assert [r.doc_id for r in similar.keep_one_similar(frame(spark, texts)).collect()] == [0]
 
 
-def test_links_inside_large_buckets(spark, monkeypatch):
-    """A bucket too large for all pairs still finds a pair that no representative links."""
-    monkeypatch.setattr(similar, "WHOLE_BUCKET", 3)
-    monkeypatch.setattr(similar, "REPRESENTATIVES", 1)
-    rng = random.Random(11)
-    texts = near_copies(rng, 12, 6, 120)  # two copies are less similar to each other than to the first
-    texts += [t + " and one more" for t in texts[5:9]]
+def test_chains_inside_a_bucket(spark):
+    """Copies whose changed words lie apart are not similar to each other, but chains of those beside each other are."""
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        own[i % 64] = f"x{i}"
+        texts.append(" ".join(own))
+    rng = random.Random(1)
+    rng.shuffle(texts)
     got = similar.keep_one_similar(frame(spark, texts))
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(list(enumerate(texts)))
 
 
+def test_forest(monkeypatch):
+    rng = np.random.default_rng(5)
+    for matrix in (1 << 22, 0):
+        monkeypatch.setattr(similar, "_MATRIX", matrix)
+        for _ in range(40):
+            base = rng.choice(10_000, 40, replace=False)
+            sets = [np.unique(np.append(rng.choice(base, rng.integers(30, 41), replace=False), rng.integers(10_000, 10_040, rng.integers(0, 5)))).astype(np.int32) for _ in range(12)]
+            label = list(range(12))
+            for x, y in similar.forest(sets):
+                assert 5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y]))
+                label = [label[x] if k == label[y] else k for k in label]
+            for x in range(12):
+                for y in range(x):
+                    if 5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y])):
+                        assert label[x] == label[y]
+
+
+def test_buckets_beyond_one_task(spark, monkeypatch):
+    """With representatives alone, groups whose members are all alike are still found whole."""
+    monkeypatch.setattr(similar, "BUCKET_SHINGLES", 10)
+    texts = near_copies(random.Random(8), 60, 1)
+    assert [r.doc_id for r in similar.keep_one_similar(frame(spark, texts)).collect()] == [0]
+
+
 def test_clashing_names(spark):
     names = ["_id", "__id", "_content", "content", "root", "n", "__content", "_text", "__text"]
     rows = spark.createDataFrame([(i, t, *range(70, 70 + len(names))) for i, t in enumerate(["a b c d e f", "a b c d e f", "x"])], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
