@@ -8,7 +8,8 @@ The field is trained on a bounded sample of labelled documents (``max_documents`
 whose lines all take the document's label. Scoring reads every line of every text. Features come from bytes alone.
 
 Null and empty texts are one line of no length. Where no labels can be learnt from, every score is the share of good labels, or
-one half where there are none.
+one half where there are none. Repeated rows are scored each, labels that contradict each other are both learnt from, and texts of
+any length are scored whole. Other columns are kept or not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -44,6 +44,25 @@ def test_features_of_each_text_alone_and_together():
         assert np.allclose(own, f[doc == i]), t
 
 
+def test_document_score_by_hand():
+    """A document's score from its lines' chances by enumeration, weighted by their lengths."""
+    rng = np.random.default_rng(7)
+    field = quality.Field(rng.normal(size=quality.N_FEATURES).astype(np.float32), rng.normal(size=(2, 2)), 1.5, -0.3)
+    texts = ["", "one line", "Two lines!\nof text | here", "a\n\nb c d\nE F", "x\ny\nz\nlonger line of words\n1 2 3\n!!!"]
+    big = pa.array(texts, pa.large_string())
+    doc, size, f = quality.line_features(np.frombuffer(big.buffers()[2], np.uint8), np.frombuffer(big.buffers()[1], np.int64))
+    got = field.scores(field.means(np.bincount(doc, minlength=len(texts)), size, f))
+    for i in range(len(texts)):
+        evidence, sizes = (f[doc == i] @ field.weights).astype(float), size[doc == i]
+        mass, chance = 0.0, np.zeros(len(sizes))
+        for y in itertools.product((0, 1), repeat=len(sizes)):
+            w = np.exp(sum(e * b for e, b in zip(evidence, y)) + sum(field.ties[a, b] for a, b in zip(y, y[1:])))
+            mass += w
+            chance += w * np.array(y)
+        mean = np.clip(((sizes + 1) * chance / mass).sum() / (sizes + 1).sum(), 1e-4, 1 - 1e-4)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(1.5 * np.log(mean / (1 - mean)) - 0.3))))
+
+
 def test_held_out_accuracy(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
