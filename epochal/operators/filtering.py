@@ -1,14 +1,14 @@
 """Filters, spectra and wavelets of regularly sampled signals, within each group of ``by`` (series and epoch).
 
-Finite kernels are window expressions. What recurses over a whole group (Butterworth) or transforms it (Fourier) is a numeric
-kernel over the group's array, one group per task.
+Finite kernels are window expressions, or run over blocks where they are long; recursive filters run over blocks with margins.
+Fourier transforms are a numeric kernel over a group's array, one group per task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,19 +18,34 @@ from .joins import tag
 from .series import convolve, threshold_support
 
 
-def _grouped(samples: DataFrame, by: list[str], value: str, func) -> DataFrame:
-    """``value`` replaced by ``func`` of each group's values in order of time."""
+#: Samples that a recursive filter takes at a time, besides a margin.
+BLOCK = 1 << 18
+
+
+def _recursive(samples: DataFrame, by: list[str], value: str, sections: np.ndarray) -> DataFrame:
+    """``value`` filtered in both directions, group by group.
+
+    A recording is cut into blocks, each with a margin on both sides in which what lies beyond has faded below rounding (e to the
+    power of minus 40 of its size), so no task holds a whole recording. The ends of a group are those of its first and last block.
+    """
+    slowest = max(np.abs(np.roots([1.0, a1, a2])).max() for _, _, _, _, a1, a2 in sections)
+    margin = int(np.ceil(40 / -np.log(slowest)))
+    size = max(BLOCK, 4 * margin)
+    rows = samples.withColumn(value, F.col(value).cast("double")).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("t_ns")) - 1)
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.expr(f"greatest(_r - {margin}, 0) div {size}"), F.expr(f"(_r + {margin}) div {size}"))))
+    schema = rows.drop("_r").schema
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t_ns", kind="stable")
+        frame = frame.sort_values("_r", kind="stable")
         x = frame[value].to_numpy(dtype=float)
         if np.isnan(x).any():
             raise ValueError("the signal has missing values; fill or drop them first")
-        frame[value] = func(x)
-        return frame
+        own = (frame["_r"] // size == frame["_block"]).to_numpy()
+        if own.any():
+            frame[value] = forward_backward(sections, x)
+        return frame.loc[own, [f.name for f in schema]]
 
-    rows = samples.withColumn(value, F.col(value).cast("double"))
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return spread.groupBy(*by, "_block").applyInPandas(run, schema)
 
 
 def apply_filter(samples: DataFrame, kind: str, cutoff, fs: float, by: list[str], mode: str = "butter", order: int = 4, transition: float = 0.02, value: str = "v") -> DataFrame:
@@ -39,15 +54,12 @@ def apply_filter(samples: DataFrame, kind: str, cutoff, fs: float, by: list[str]
         return convolve(samples, sinc_filter(kind, cutoff, fs, transition).tolist(), by, value, "both", value)
     if mode != "butter":
         raise ValueError(f"mode {mode!r} is none of butter, sinc")
-    sections = butter_sections(kind, cutoff, fs, order)
-    return _grouped(samples, by, value, lambda x: forward_backward(sections, x))
+    return _recursive(samples, by, value, butter_sections(kind, cutoff, fs, order))
 
 
 def decimate(samples: DataFrame, down: int, by: list[str], value: str = "v", order: int = 8, filter_type: str = "iir") -> DataFrame:
     """Every ``down``-th sample of each group after a low-pass without delay: a Chebyshev filter of 0.05 dB ripple at 0.8 of the
     new half rate (``iir``), run in both directions, or ``order + 1`` points of a sinc under a Hamming window (``fir``)."""
-    from pyspark.sql import Window
-
     if filter_type not in ("iir", "fir"):
         raise ValueError(f"filter type {filter_type!r} is none of iir, fir")
     if not isinstance(down, int) or down < 1 or not isinstance(order, int) or order < 1:
@@ -55,8 +67,7 @@ def decimate(samples: DataFrame, down: int, by: list[str], value: str = "v", ord
     if filter_type == "fir":
         rows = convolve(samples, hamming_kernel(order + 1, 1 / down).tolist(), by, value, "both", value)
     else:
-        sections = chebyshev_sections(order, 0.05, 0.8 / down)
-        rows = _grouped(samples, by, value, lambda x: forward_backward(sections, x))
+        rows = _recursive(samples, by, value, chebyshev_sections(order, 0.05, 0.8 / down))
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("t_ns")) - 1).where(f"_r % {down} = 0").drop("_r")
 
 
@@ -104,8 +115,6 @@ def power_spectral_density(samples: DataFrame, fs: float, by: list[str], value:
 
 def mean_power_spectral_density(samples: DataFrame, epochs: DataFrame, fs: float, size: int, overlap: float = 0.25, value: str = "v") -> DataFrame:
     """k, freq and psd averaged over windows of ``size`` samples under a Hamming window, which overlap and stay in their epoch."""
-    from pyspark.sql import Window
-
     step = max(1, int(size * (1 - overlap)))
     w = Window.partitionBy("epoch_id").orderBy("t_ns")
     rows = tag(samples.select("t_ns", value), epochs).withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy("epoch_id"))})

@@ -143,6 +143,16 @@ def test_decimate_kernels(spark):
         filtering.decimate(signal(spark, v), 4, ["unit"], filter_type="other")
 
 
+def test_recursive_filters_over_blocks(spark, monkeypatch):
+    from epochal.functions.signal import butter_sections, forward_backward
+
+    monkeypatch.setattr(filtering, "BLOCK", 100)
+    v = np.random.default_rng(4).normal(size=1500)
+    for kind, cutoff in (("lowpass", 20.0), ("bandpass", (10.0, 30.0)), ("highpass", 30.0), ("bandstop", (20.0, 30.0))):
+        got = frame(filtering.apply_filter(signal(spark, v), kind, cutoff, 100.0, ["unit"]), "t_ns")
+        assert np.allclose(got.v, forward_backward(butter_sections(kind, cutoff, 100.0), v), rtol=0, atol=1e-12)
+
+
 def test_surrogates_with_ties(spark):
     x = samples(spark, [5] * 5)
     for got in (randomize.jitter_timestamps(x, S), randomize.resample_timestamps(x, 0, 100 * S)):
