@@ -26,7 +26,8 @@ from .graph import components
 from .shared import durable, text_of, unused, without
 
 BITS, BLOCK, BUDGET = 64, 16, 3
-#: Node pairs followed at a time; rows of one unit of work at most, before it is split.
+#: Node pairs followed at a time; rows of one unit of work at most, before it is split. A trie is split at most 14 bits down, where
+#: a fingerprint is in 1 + 14 + 91 + 364 units; its units reach this many rows only beyond 6.5e9 distinct fingerprints in one trie.
 FRONTIER, UNIT_ROWS = 200_000, 400_000
 
 
