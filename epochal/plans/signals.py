@@ -106,7 +106,7 @@ def filter_sinc_band(spark, sf_dir):
     return filtering.apply_filter(daily(spark, sf_dir), "bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS, ["epoch_id"], "sinc", transition=0.2).select("t_ns", F.round("v", 6).alias("v"))
 
 
-def _sections_sql(sections: np.ndarray, source: str, down: int = 1) -> str:
+def _sections_sql(sections: np.ndarray, source: str, down: int = 1, more: str = "") -> str:
     """A filter run in both directions over (t_ns, v), written as recurrences: the ends are continued by their point reflection,
     and every section starts in the state in which it rests at the first value."""
     pad, rest = 3 * (2 * len(sections) + 1), signal.steady_states(sections).tolist()
@@ -132,6 +132,9 @@ def _sections_sql(sections: np.ndarray, source: str, down: int = 1) -> str:
         return f"{rows}, {name} AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS v, {', '.join(start)} UNION ALL SELECT x.i, {outs[-1]}, {', '.join(step)} FROM {name} f JOIN {name}o x ON x.i = f.i + 1)"
 
     ctes += [run("fw", "p0", "ASC"), "fwd AS (SELECT * FROM fw WHERE i > 0)", run("bw", "fwd", "DESC")]
+    if more:
+        filtered = f"bp AS (SELECT s.t_ns, b.v FROM (SELECT t_ns, row_number() OVER (ORDER BY t_ns) - 1 AS r FROM {source}) s, fl JOIN bw b ON b.i = fl.n + {pad} - s.r)"
+        return f"WITH RECURSIVE {D}, {', '.join(ctes)}, {filtered}, {more}"
     last = f"SELECT s.t_ns, round(b.v, 6) AS v FROM (SELECT t_ns, row_number() OVER (ORDER BY t_ns) - 1 AS r FROM {source}) s, fl JOIN bw b ON b.i = fl.n + {pad} - s.r WHERE s.r % {down} = 0"
     return f"WITH RECURSIVE {D}, {', '.join(ctes)} {last}"
 
@@ -175,9 +178,26 @@ def _one_span(spark, sf_dir):
     return daily(spark, sf_dir).agg(F.lit(0).alias("epoch_id"), F.min("t_ns").alias("start_ns"), F.max("t_ns").alias("end_ns"))
 
 
-@query()
+_BOX = [1 / 9] * 9
+
+
+@query(
+    _sections_sql(
+        signal.butter_sections("bandpass", (0.05 * DAYS, 0.2 * DAYS), DAYS),
+        "d",
+        more=f"pw AS (SELECT t_ns, v AS raw, v * v AS v FROM bp), b1 AS ({_conv_sql(_BOX, 'pw')}), b2 AS ({_conv_sql(_BOX, 'b1')}), m AS (SELECT avg(v) AS a, stddev_pop(v) AS s FROM b2), "
+        "z AS (SELECT b2.t_ns, raw, b2.v AS p, (b2.v - a) / s AS z FROM b2 JOIN pw USING (t_ns), m), "
+        "k AS (SELECT t_ns, z > 1 AS i, lag(t_ns) OVER w AS tb, lag(z > 1) OVER w AS ib, lead(t_ns) OVER w AS ta FROM z WHERE z < 10 WINDOW w AS (ORDER BY t_ns)), "
+        "r AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(ib, false) THEN 1 ELSE 0 END) OVER (ORDER BY t_ns) AS g FROM k), "
+        "u AS (SELECT arg_min(coalesce(tb + (t_ns - tb) // 2, t_ns), t_ns) AS s, arg_max(coalesce(t_ns + (ta - t_ns) // 2, t_ns), t_ns) AS e FROM r WHERE i GROUP BY g), "
+        f"c AS (SELECT *, CASE WHEN s - lag(e) OVER (ORDER BY s) <= {5 * DAY} THEN 0 ELSE 1 END AS w FROM u WHERE e - s > {5 * DAY} AND e - s < {200 * DAY}), "
+        "g AS (SELECT min(s) AS s, max(e) AS e FROM (SELECT *, sum(w) OVER (ORDER BY s) AS g FROM c) GROUP BY g), n AS (SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS INT) AS epoch_id, s, e FROM g) "
+        "SELECT epoch_id, s AS start_ns, e AS end_ns, round(10 * log10(avg(raw * raw)), 6) AS power, round(max(sqrt(p)), 6) AS amplitude, arg_max(t_ns, {'p': p, 't': -t_ns}) AS peak_ns FROM n LEFT JOIN z ON t_ns BETWEEN s AND e GROUP BY ALL",
+    )
+)
 def oscillatory_events(spark, sf_dir):
-    return filtering.detect_oscillatory_events(daily(spark, sf_dir).select("t_ns", "v"), _one_span(spark, sf_dir), (0.05 * DAYS, 0.2 * DAYS), DAYS, (1.0, 10.0), (5 * DAY, 200 * DAY), 5 * DAY, window=9)
+    rows = filtering.detect_oscillatory_events(daily(spark, sf_dir).select("t_ns", "v"), _one_span(spark, sf_dir), (0.05 * DAYS, 0.2 * DAYS), DAYS, (1.0, 10.0), (5 * DAY, 200 * DAY), 5 * DAY, window=9)
+    return rows.withColumns({"power": F.round("power", 6), "amplitude": F.round("amplitude", 6)})
 
 
 _N = "n AS (SELECT t_ns, v, row_number() OVER (ORDER BY t_ns) - 1 AS r, count(*) OVER () AS n FROM d)"
