@@ -159,12 +159,14 @@ def drop_long(df: DataFrame, threshold_ns: int, by: list[str] | None = None) ->
     return numbered(df.where(F.col("end_ns") - F.col("start_ns") < threshold_ns), by or [])
 
 
-def time_span(df: DataFrame) -> DataFrame:
-    return df.agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+def time_span(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """From the first start to the last end."""
+    return df.groupBy(*(by or [])).agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
 
 
-def tot_length(df: DataFrame) -> DataFrame:
-    return df.agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("tot_ns"))
+def tot_length(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The length of all intervals together."""
+    return df.groupBy(*(by or [])).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("tot_ns"))
 
 
 def centers(df: DataFrame, alpha: float = 0.5) -> DataFrame:

@@ -34,13 +34,16 @@ def _signal_batches(t: np.ndarray, data: np.ndarray, names: list[str]) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(_ns(t)), pa.array([names[k] if k < len(names) else str(k)] * len(t)), pa.array(data[:, k], from_pandas=True)], names=["t_ns", "col", "v"])
 
 
-def nwb_objects(path: str) -> dict[str, tuple[str, str, int, int]]:
-    """Name to (identifier, kind, rows, columns) of what can be read; names that occur twice get their parent's before them."""
+def nwb_objects(path: str, wanted: str | None = None) -> dict[str, tuple[str, str, int, int]]:
+    """Name to (identifier, kind, rows, columns) of what can be read; names that occur twice get their parent's before them.
+    ``wanted`` is the type to which objects are confined, intervals aside."""
     pynwb = optional("pynwb")
     listed = []
     with pynwb.NWBHDF5IO(path, "r", load_namespaces=True) as io:
         for key, item in io.read().objects.items():
             kind = type(item).__name__
+            if wanted not in (None, kind) and kind != "TimeIntervals":
+                continue
             if kind == "TimeIntervals":
                 listed.append((item, key, "epochs", len(item["start_time"]), 1))
             elif kind == "Units":
@@ -93,10 +96,9 @@ def load_container(spark: SparkSession, path: str, wanted: str | None = None, va
     """Time series (t_ns, col, v), intervals and units of an NWB file by name, where the library is installed."""
     spark.dataSource.register(NwbObject)
     out = {}
-    for name, (key, kind, rows, columns) in nwb_objects(path).items():
-        if wanted in (None, "Units") or kind != "units":
-            per = max(1, values_per_partition // columns) if kind == "signal" else max(1, min(rows, 1000))
-            out[name] = spark.read.format("nwb_object").option("object", key).option("kind", kind).option("rows", rows).option("rows_per_partition", per).load(path)
+    for name, (key, kind, rows, columns) in nwb_objects(path, wanted).items():
+        per = max(1, values_per_partition // columns) if kind == "signal" else max(1, min(rows, 1000))
+        out[name] = spark.read.format("nwb_object").option("object", key).option("kind", kind).option("rows", rows).option("rows_per_partition", per).load(path)
     return out
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
 from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import SECOND
 from . import neuroscope, recordings
-from .arrays import load_bundle, load_file
+from .arrays import file_system, load_bundle, load_file, save_npz
 from .containers import load_container
 
 #: Kinds whose processed data lie in an NWB container, with the time series that hold them.
@@ -30,6 +33,74 @@ def load_folder(spark: SparkSession, path: str) -> dict:
     return tree
 
 
+class Folder:
+    """A folder of archives and bundles as a dictionary; what is asked for is opened then and kept. Notes lie beside the data as JSON."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs, self._own = file_system(self.path)
+        self._open: dict = {}
+
+    def _entries(self) -> list:
+        found = self.fs.get_file_info(pafs.FileSelector(self._own))
+        kept = [x for x in found if x.base_name.endswith((".npz", ".bundle")) or x.type == pafs.FileType.Directory]
+        return sorted(kept, key=lambda x: (x.type != pafs.FileType.Directory or x.base_name.endswith(".bundle"), x.base_name))
+
+    def keys(self) -> list[str]:
+        return [x.base_name.removesuffix(".npz").removesuffix(".bundle") for x in self._entries()]
+
+    def __getitem__(self, name: str):
+        if name not in self._open:
+            for x in self._entries():
+                if x.base_name == f"{name}.npz":
+                    self._open[name] = load_file(self.spark, f"{self.path}/{x.base_name}")
+                elif x.base_name == f"{name}.bundle":
+                    self._open[name] = load_bundle(self.spark, f"{self.path}/{x.base_name}")
+                elif x.base_name == name and x.type == pafs.FileType.Directory:
+                    self._open[name] = Folder(self.spark, f"{self.path}/{name}")
+        if name not in self._open:
+            raise KeyError(name)
+        return self._open[name]
+
+    def load(self) -> dict:
+        """Everything of this folder, opened."""
+        return {name: self[name] for name in self.keys()}
+
+    def view(self) -> str:
+        """The tree of names below this folder."""
+        return "\n".join([self.path.rsplit("/", 1)[-1], *self._lines("")])
+
+    expand = view
+
+    def _lines(self, indent: str) -> list[str]:
+        out, entries = [], self._entries()
+        for k, x in enumerate(entries):
+            last = k + 1 == len(entries)
+            out.append(f"{indent}{'└──' if last else '├──'} {x.base_name}")
+            if x.type == pafs.FileType.Directory and not x.base_name.endswith(".bundle"):
+                out += Folder(self.spark, f"{self.path}/{x.base_name}")._lines(indent + ("    " if last else "│   "))
+        return out
+
+    def save(self, name: str, data: DataFrame, epochs: DataFrame | None = None, description: str = "") -> None:
+        """Data small enough for the driver as an archive, with a note of the time and what it is."""
+        save_npz(data, epochs, f"{self.path}/{name}.npz")
+        with self.fs.open_output_stream(f"{self._own}/{name}.json") as f:
+            f.write(json.dumps({"time": str(datetime.now()), "info": description}, indent=2).encode())
+        self._open.pop(name, None)
+
+    def metadata(self, name: str) -> dict:
+        """The note of an archive; empty where there is none."""
+        if self.fs.get_file_info(f"{self._own}/{name}.json").type != pafs.FileType.File:
+            return {}
+        with self.fs.open_input_file(f"{self._own}/{name}.json") as f:
+            return json.loads(f.read())
+
+    def info(self, name: str) -> str:
+        return self.metadata(name).get("info", "")
+
+    doc = info
+
+
 def load_session(spark: SparkSession, path: str, kind: str | None = None) -> dict[str, DataFrame | dict]:
     """A session folder. ``neurosuite``: header, spikes of all shanks (shank, unit, t_ns) and hand-made epochs by name. ``phy`` and
     ``suite2p``: what these programs write themselves, where it is there. ``base``: position, epochs and their common support.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions.options import Options
-from epochal.operators import construct, joins, selecting, series
+from epochal.operators import construct, former, joins, selecting, series, tuning
 
 from .helpers import S, frame, iset, pairs, samples
 
@@ -91,3 +91,22 @@ def test_regular_steps_and_groups_of_values(spark):
     target = samples(spark, [1.1, 2.4], [5.0, 6.0]).select(F.lit(0).alias("epoch_id"), "t_ns", "v")
     got = frame(joins.asof(group.withColumn("epoch_id", F.lit(0)), target, "closest", ["epoch_id"]), "unit", "t_ns")
     assert got.matched.tolist() == [5.0, 6.0, 6.0]
+
+
+def test_former_names(spark):
+    e = iset(spark, [(0, 10)])
+    group = samples(spark, [1, 2, 6], unit=0).unionByName(samples(spark, [3, 7], unit=1)).select("unit", "t_ns")
+    feature = samples(spark, range(10), [k % 4 for k in map(float, range(10))]).select("t_ns", F.col("v").alias("x"), (F.col("v") + 0).alias("y"))
+    edges = {"x": [0.0, 2.0, 4.0]}
+    with pytest.warns(DeprecationWarning):
+        old = former.compute_1d_tuning_curves(group, feature, e, edges, 1.0)
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, tuning.tuning_curves(group, feature, e, edges, 1.0).collect()))
+    with pytest.warns(DeprecationWarning):
+        assert former.compute_2d_tuning_curves(group, feature, e, {**edges, "y": [0.0, 4.0]}, 1.0).count() == 4
+    with pytest.warns(DeprecationWarning):
+        assert former.compute_1d_mutual_info(old).count() == 2
+    counts = spark.createDataFrame([(0, 0, 0, 3), (0, 0, 1, 0)], "epoch_id int, bin long, unit int, n long")
+    with pytest.warns(DeprecationWarning):
+        assert former.decode_1d(counts, old, S).count() == 1
+    with pytest.raises(ValueError), pytest.warns(DeprecationWarning):
+        former.compute_2d_tuning_curves(group, feature, e, edges, 1.0)

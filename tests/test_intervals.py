@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from epochal.operators import intervals as iv
 
 from .helpers import S, iset, pairs, samples
@@ -74,3 +76,10 @@ def test_random_sets_on_a_grid(spark, seed):
 def test_empty(spark):
     e, a = iset(spark, []), iset(spark, [(0, 1)])
     assert pairs(iv.union(a, e)) == pairs(iv.set_diff(a, e)) == [(0, 1)] and pairs(iv.intersect(a, e)) == pairs(iv.set_diff(e, a)) == []
+
+
+def test_lengths_by_key(spark):
+    df = iset(spark, [(0, 1), (2, 5)]).unionByName(iset(spark, [(7, 9)])).withColumn("unit", F.when(F.col("start_ns") >= 7 * S, 1).otherwise(0))
+    assert sorted(map(tuple, intervals.tot_length(df, ["unit"]).collect())) == [(0, 4 * S), (1, 2 * S)]
+    assert sorted(map(tuple, intervals.time_span(df, ["unit"]).collect())) == [(0, 0, 5 * S), (1, 7 * S, 9 * S)]
+    assert intervals.tot_length(df).first().tot_ns == 6 * S

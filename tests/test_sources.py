@@ -111,6 +111,19 @@ def test_base_session(spark, tmp_path):
     assert pairs(got["time_support"]) == [(0, 9), (20, 30)] and pairs(got["epochs"]["sleep"]) == [(0, 5), (20, 30)] and got["position"].count() == 2
 
 
+def test_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    root = sessions.Folder(spark, str(tmp_path))
+    root.save("x", samples(spark, [1, 2], [3.0, 4.0]).select("t_ns", "v"), iset(spark, [(0, 5)]), "a trace")
+    root["sub"].save("e", iset(spark, [(0, 1)]))
+    assert root.view() == f"{tmp_path.name}\n├── sub\n│   └── e.npz\n└── x.npz" and root.keys() == ["sub", "x"]
+    assert root["x"].count() == 2 and pairs(root["sub"]["e"]) == [(0, 1)] and root["x"] is root["x"]
+    assert root.metadata("x")["info"] == "a trace" and root.info("x") == root.doc("x") == "a trace" and root.metadata("y") == {}
+    assert set(root.load()) == {"sub", "x"}
+    with pytest.raises(KeyError):
+        root["none"]
+
+
 PYNWB = """
 import numpy as np
 class TimeIntervals(dict):
@@ -152,6 +165,7 @@ def test_containers(monkeypatch):
         exec(text, stand_in.__dict__)
         monkeypatch.setitem(sys.modules, name, stand_in)
     assert {n: v[1:] for n, v in containers.nwb_objects("f.nwb").items()} == {"trials": ("epochs", 2, 1), "units": ("units", 2, 1), "x": ("signal", 3, 2), "y": ("signal", 3, 1)}
+    assert set(containers.nwb_objects("f.nwb", "Units")) == {"trials", "units"} and set(containers.nwb_objects("f.nwb", "Series")) == {"trials", "x", "y"}
     nwb = containers._NwbReader({"path": "f.nwb", "object": "c", "kind": "signal", "rows": "3", "rows_per_partition": "2"})
     rows = [r for p in nwb.partitions() for b in nwb.read(p) for r in b.to_pylist()]
     assert len(nwb.partitions()) == 2 and sorted((r["t_ns"], r["col"], r["v"]) for r in rows) == [(S, "0", 0.0), (S, "1", 1.0), (S * 3 // 2, "0", 2.0), (S * 3 // 2, "1", 3.0), (2 * S, "0", 4.0), (2 * S, "1", 5.0)]
