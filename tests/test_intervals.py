@@ -3,7 +3,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from epochal.operators import intervals as iv
@@ -80,6 +79,6 @@ def test_empty(spark):
 
 def test_lengths_by_key(spark):
     df = iset(spark, [(0, 1), (2, 5)]).unionByName(iset(spark, [(7, 9)])).withColumn("unit", F.when(F.col("start_ns") >= 7 * S, 1).otherwise(0))
-    assert sorted(map(tuple, intervals.tot_length(df, ["unit"]).collect())) == [(0, 4 * S), (1, 2 * S)]
-    assert sorted(map(tuple, intervals.time_span(df, ["unit"]).collect())) == [(0, 0, 5 * S), (1, 7 * S, 9 * S)]
-    assert intervals.tot_length(df).first().tot_ns == 6 * S
+    assert sorted(map(tuple, iv.tot_length(df, ["unit"]).collect())) == [(0, 4 * S), (1, 2 * S)]
+    assert sorted(map(tuple, iv.time_span(df, ["unit"]).collect())) == [(0, 0, 5 * S), (1, 7 * S, 9 * S)]
+    assert iv.tot_length(df).first().tot_ns == 6 * S
