@@ -77,7 +77,8 @@ class Counter:
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, sample_documents: int = 2000, entries: int = 65_536, longest: int = 64) -> Tier:
     """The pre-tokens of at most ``longest`` characters that are most frequent in a sample of documents, with their lengths.
 
-    The sample are the documents that come first by a hash of id and text. Pieces are counted in each batch before they meet.
+    The sample are the documents that come first by a hash of id and text (and rows that repeat the last of them). Pieces are counted
+    in each batch before they meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +93,10 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, sample_documents: int
             made = [(p, k, n) for k, tally in enumerate((plain, exact)) for p, n in tally.items() if len(p) <= longest]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 3, [pa.string(), pa.int32(), pa.int64()])], names=["piece", "kind", "n"])
 
-    order = F.xxhash64("doc_id", text_of()), "doc_id"
-    texts = docs.orderBy(*order).limit(sample_documents).select(text_of().alias("text"))
+    # hashes alone meet in one place; the texts are read where they are
+    h = F.xxhash64("doc_id", text_of())
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample_documents).agg(F.max("h")).first()[0] if sample_documents else None
+    texts = docs.where(h <= last if last is not None else F.lit(False)).select(text_of().alias("text"))
     found = texts.mapInArrow(run, "piece string, kind int, n long").groupBy("piece", "kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "piece").limit(entries).collect()
     enc = encoder(tokenizer_path)
     return {r.piece: len(enc.fast.encode_ordinary(r.piece)) for r in found if not r.kind}, {r.piece: enc.exact_length(r.piece) for r in found if r.kind}
