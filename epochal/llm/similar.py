@@ -8,13 +8,15 @@ in a bucket; a pair of similarity 0.8 shares none with a chance of 3 in 100,000.
 bucket are found from the whole sets, shingle by shingle, and a spanning forest of them is given: a set is compared with those
 that are not reached yet, so a group of copies costs little more than its size, and no pairs are written.
 
-A bucket whose sets have more than ``BUCKET_SHINGLES`` shingles together does not fit one task: there each set is compared with
-``REPRESENTATIVES`` of the bucket, and two sets that neither these nor other buckets link stay apart.
+A bucket whose sets have more than ``BUCKET_SHINGLES`` shingles together does not fit one task. It is dealt into parts, and each
+part is worked on whole with ``REPRESENTATIVES`` of the bucket, which ties the parts of a group of copies together. What then is
+not one group is compared across parts: each set outside the bucket's largest group meets all sets of the bucket, two parts at a
+time. So no link is lost; the work grows with the bucket times those sets, and with its square only if most of them stay apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,47 +86,120 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))], names=["node", "own"])
 
 
-#: Words of 64 bits that the shingles of one bucket may take as a matrix; beyond that they are counted from lists.
+#: Words of 64 bits that the shingles of one bucket may take as a matrix; beyond that sets meet by lists.
 _MATRIX = 1 << 22
+#: Shingles that are counted at a time.
+_COUNTED = 1 << 20
+
+
+def _by_matrix(row: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, words: int) -> Callable[[int, np.ndarray, int], np.ndarray]:
+    matrix = np.zeros((len(sizes), words), dtype=np.uint64)
+    np.bitwise_or.at(matrix, (row, shingle // 64), np.uint64(1) << (shingle % 64).astype(np.uint64))
+
+    def near(x: int, alive: np.ndarray, _: int) -> np.ndarray:
+        left = np.flatnonzero(alive)
+        n = np.bitwise_count(matrix[left] & matrix[x]).sum(axis=1, dtype=np.int64)
+        return left[5 * n >= 4 * (sizes[x] + sizes[left] - n)]
+
+    return near
+
+
+def _by_lists(row: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, words: int) -> Callable[[int, np.ndarray, int], np.ndarray]:
+    """Two sets of similarity 0.8 share one of the rarest shingles of each, a fifth of them and one; only those are listed, of sets
+    that are left, and listed again whenever half of these are gone. What meets so is counted whole."""
+    times = np.bincount(shingle, minlength=64 * words)
+    rank = np.empty(len(times), dtype=np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    key = row * len(times) + rank[shingle]
+    key.sort()
+    rank = key % len(times)
+    del key
+    starts = np.searchsorted(row, np.arange(len(sizes) + 1))
+    own_size = np.diff(starts)
+    rare = np.maximum(0, own_size - (4 * sizes + 4) // 5 + 1)  # those of one set alone come before
+    listed = np.flatnonzero(np.arange(len(row)) - starts[row] < rare[row])
+    mark = np.zeros(len(times), dtype=bool)
+    lists = keys = at = np.zeros(0, dtype=np.int64)
+    held = 0
+
+    def near(x: int, alive: np.ndarray, n: int) -> np.ndarray:
+        nonlocal listed, lists, keys, at, held
+        if not held or 2 * n < held:
+            listed, held = listed[alive[row[listed]]], n
+            by = listed[np.argsort(rank[listed], kind="stable")]
+            lists = row[by]
+            keys, at = np.unique(rank[by], return_index=True)
+            at = np.append(at, len(by))
+        own = rank[starts[x] : starts[x] + rare[x]]
+        k = np.searchsorted(keys, own)
+        k = k[k < len(keys)]
+        k = k[keys[k] == own[: len(k)]]
+        if not len(k):
+            return k
+        others = np.concatenate([lists[at[i] : at[i + 1]] for i in k.tolist()])
+        others = np.unique(others[alive[others]])
+        others = others[(5 * sizes[others] >= 4 * sizes[x]) & (5 * sizes[x] >= 4 * sizes[others])]
+        mark[rank[starts[x] : starts[x + 1]]] = True
+        found, ends = [others[:0]], np.append(0, np.cumsum(own_size[others]))
+        a = 0
+        while a < len(others):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _COUNTED, side="right")) - 1)
+            part, width = others[a:b], own_size[others[a:b]]
+            where = np.arange(ends[a], ends[b]) + np.repeat(starts[part] - ends[a:b], width)
+            common = np.add.reduceat(mark[rank[where]], ends[a:b] - ends[a], dtype=np.int64)
+            found.append(part[5 * common >= 4 * (sizes[x] + sizes[part] - common)])
+            a = b
+        mark[rank[starts[x] : starts[x + 1]]] = False
+        return np.concatenate(found)
+
+    return near
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the sets (of distinct numbers) that have a similarity of 0.8 or more."""
+    """A spanning forest of the sets (of distinct numbers) that have a similarity of 0.8 or more.
+
+    Sets of one size that have the same shingles in common with any others are one class, which is compared once."""
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[shingle] > 1  # others count for sizes alone
-    row, (_, shingle) = row[shared], np.unique(shingle[shared], return_inverse=True)
+    shared = times > 1  # others count for sizes alone
+    there = shared[shingle]
+    row, shingle = row[there], (np.cumsum(shared) - 1)[shingle[there]]
     if not len(row):
         return []
-    words = int(shingle.max()) // 64 + 1
-    if words * len(sets) <= _MATRIX:
-        matrix = np.zeros((len(sets), words), dtype=np.uint64)
-        np.bitwise_or.at(matrix, (row, shingle // 64), np.uint64(1) << (shingle % 64).astype(np.uint64))
-
-        def common(x: int, others: np.ndarray) -> np.ndarray:
-            return np.bitwise_count(matrix[others] & matrix[x]).sum(axis=1, dtype=np.int64)
-    else:
-        starts = np.searchsorted(row, np.arange(len(sets) + 1))
-        order = np.argsort(shingle, kind="stable")
-        lists, at = row[order], np.searchsorted(shingle[order], np.arange(int(shingle.max()) + 2))
-
-        def common(x: int, others: np.ndarray) -> np.ndarray:
-            own = shingle[starts[x] : starts[x + 1]]
-            return np.bincount(np.concatenate([lists[at[k] : at[k + 1]] for k in own] or [lists[:0]]), minlength=len(sets))[others]
-
+    starts = np.searchsorted(row, np.arange(len(sets) + 1)).tolist()
+    classes: dict[tuple[int, bytes], list[int]] = {}
+    for x, size in enumerate(sizes.tolist()):
+        classes.setdefault((size, shingle[starts[x] : starts[x + 1]].tobytes()), []).append(x)
+    members = list(classes.values())
+    del classes
+    number = np.full(len(sets), -1)
+    number[[m[0] for m in members]] = np.arange(len(members))
+    row = number[row]
+    row, shingle, sizes = row[row >= 0], shingle[row >= 0], sizes[[m[0] for m in members]]
+    words = (int(shared.sum()) - 1) // 64 + 1
+    near = (_by_matrix if words * len(members) <= _MATRIX else _by_lists)(row, shingle, sizes, words)
+    inside = 9 * np.bincount(row, minlength=len(members)) >= 8 * sizes
     edges: list[tuple[int, int]] = []
-    left = np.arange(len(sets))
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
+    alive, n = np.ones(len(members), dtype=bool), len(members)
+    for first in range(len(members)):
+        if not alive[first]:
+            continue
+        one, *more = members[first]
+        if inside[first]:
+            edges += [(one, y) for y in more]
+            more = []
+        alive[first], n, queue = False, n - 1, [first]
+        while queue and n:
             x = queue.pop()
-            n = common(x, left)
-            hit = 5 * n >= 4 * (sizes[x] + sizes[left] - n)
-            found = left[hit].tolist()
-            edges += [(x, y) for y in found]
-            queue += found
-            left = left[~hit]
+            found = near(x, alive, n)
+            alive[found] = False
+            n -= len(found)
+            queue += (found := found.tolist())
+            edges += [(members[x][0], y) for k in found for y in members[k]]
+            if found and more:
+                edges += [(members[found[0]][0], y) for y in more]
+                more = []
     return edges
 
 
@@ -163,26 +238,46 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _links(units: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Spanning forests of ``units`` (b, node)."""
+    rows = units.join(sets, "node").select("b", "node", "own").repartition("b").sortWithinPartitions("b", "node")
+    return durable(rows.mapInArrow(_forests, "u long, v long").distinct(), label)
+
+
+def _across(many: DataFrame, links: DataFrame) -> DataFrame:
+    """Units (b, node) in which each set outside the largest group that ``links`` make of a bucket meets all others of the bucket."""
+    placed = many.join(components(links), "node", "left").select("b", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = durable(placed, "placed-in-buckets")
+    groups = placed.groupBy("b", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    groups = groups.groupBy("b").agg(F.max(F.struct("s", "root", "n")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).where("groups > 1")
+    parts = f"least({{0}}, ceil(2 * {{1}} / {BUCKET_SHINGLES}))"
+    groups = durable(groups.selectExpr("b", "top.root as main", parts.format("n - top.n", "(s - top.s)") + " as rest", parts.format("top.n", "top.s") + " as own"), "groups")
+    dealt = placed.join(_small(groups), "b").selectExpr("b", "node", "rest", "own", "if(root = main, rest + pmod(xxhash64(node, 1), own), pmod(xxhash64(node, 1), rest)) as p")
+    pairs = dealt.selectExpr("b", "node", "p", "explode(filter(sequence(0L, rest + own - 1L), q -> q != p and least(p, q) < rest)) as q")
+    return pairs.selectExpr("xxhash64(b, least(p, q), greatest(p, q)) as b", "node")
+
+
 def similar_sets(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes that span the groups which a Jaccard similarity of 0.8 or more makes of the nodes of each bucket."""
     nodes = durable(signatures.groupBy("node").agg(F.min("content").alias("content"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")), "sets")
     members = nodes.select("node", "size", F.explode("bands").alias("b"))
     sizes = members.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum("size").alias("shingles")).where("n > 1")
-    sizes = durable(sizes.groupBy("n", "h", "shingles").agg(F.min("b").alias("b")).select("b", (F.col("shingles") > BUCKET_SHINGLES).alias("large")), "buckets")
-    members = durable(members.select("node", "b").join(_small(sizes), "b"), "members")
+    parts = F.expr(f"if(shingles > {BUCKET_SHINGLES}, least(n, ceil(2 * shingles / {BUCKET_SHINGLES})), 1L)")
+    sizes = durable(sizes.groupBy("n", "h", "shingles").agg(F.min("b").alias("b")).select("b", parts.alias("parts")), "buckets")
+    members = durable(members.join(_small(sizes), "b").selectExpr("b", "node", "size", "parts", "pmod(xxhash64(node), parts) as part"), "members")
     texts = durable(nodes.select("node", "content").join(members.select("node").distinct(), "node", "left_semi").select("content"), "compared")
     rows = docs.select(F.xxhash64(text_of()).alias("content"), text_of().alias("text"))
     rows = rows.join(_small(texts), "content", "left_semi").dropDuplicates(["content"])
     sets = durable(rows.mapInArrow(_sets, "node long, own array<int>").dropDuplicates(["node"]), "shingles")
-    whole = members.where("not large").join(sets, "node").select("b", "node", "own").repartition("b").sortWithinPartitions("b", "node")
-    links = durable(whole.mapInArrow(_forests, "u long, v long").distinct(), "similar")
-    many = members.where("large").select("b", "node")
-    chosen = many.groupBy("b").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node")).alias(f"r{s}") for s in range(REPRESENTATIVES)])
-    chosen = durable(chosen.select("b", F.array(*[f"r{s}.node" for s in range(REPRESENTATIVES)]).alias("r")), "representatives")
-    pairs = many.join(_small(chosen), "b").select(F.col("node").alias("v"), F.explode(F.array_distinct("r")).alias("u")).where("u != v").distinct()
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("y")), "v")
-    both = both.select("u", "v", F.expr("size(x) + size(y)").alias("n"), F.expr("size(array_intersect(x, y))").alias("common"))
-    return links.unionByName(durable(both.where("5L * common >= 4L * (n - common)").select("u", "v"), "similar-to-chosen"))
+    units = members.selectExpr("if(parts = 1, b, xxhash64(b, part)) as b", "node")
+    many = members.where("parts > 1")
+    if many.isEmpty():
+        return _links(units, sets, "similar")
+    chosen = many.groupBy("b", "parts").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node", "part")).alias(f"r{s}") for s in range(REPRESENTATIVES)])
+    chosen = chosen.select("b", "parts", F.explode(F.array_distinct(F.array(*[F.struct(f"r{s}.node", f"r{s}.part") for s in range(REPRESENTATIVES)]))).alias("r"))
+    guests = chosen.selectExpr("b", "r.node", "explode(filter(sequence(0L, parts - 1L), p -> p != r.part)) as part").selectExpr("xxhash64(b, part) as b", "node")
+    links = _links(units.unionByName(guests), sets, "similar")
+    return links.unionByName(_links(_across(many, links), sets, "similar-across"))
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from epochal.llm import simhash, similar
@@ -106,6 +107,17 @@ def test_forest(monkeypatch):
                         assert label[x] == label[y]
 
 
+def test_forest_of_sets_that_differ_in_what_is_their_own(monkeypatch):
+    """Sets with the same shingles in common with others are compared once, and link as each alone would."""
+    alone = iter(range(10**6, 2 * 10**6))
+    sets = [np.array([*range(20 * k, 20 * k + n), *(next(alone) for _ in range(m))], dtype=np.int32) for k in range(3) for n, m in ((20, 2), (20, 3), (18, 5), (17, 2)) for _ in range(3)]
+    alike = {(x, y) for y, b in enumerate(sets) for x, a in enumerate(sets[:y]) if 5 * (n := len(np.intersect1d(a, b))) >= 4 * (len(a) + len(b) - n)}
+    for matrix in (1 << 22, 0):
+        monkeypatch.setattr(similar, "_MATRIX", matrix)
+        links = similar.forest(sets)
+        assert {(min(e), max(e)) for e in links} <= alike and groups(range(36), links) == groups(range(36), alike)
+
+
 def test_buckets_beyond_one_task(spark, monkeypatch):
     """With representatives alone, groups whose members are all alike are still found whole."""
     monkeypatch.setattr(similar, "BUCKET_SHINGLES", 10)
@@ -113,6 +125,48 @@ def test_buckets_beyond_one_task(spark, monkeypatch):
     assert [r.doc_id for r in similar.keep_one_similar(frame(spark, texts)).collect()] == [0]
 
 
+def groups(nodes, links):
+    """The least node that links reach, for each."""
+    label = {x: x for x in nodes}
+    for u, v in links:
+        low, high = sorted((label[u], label[v]))
+        if low != high:
+            label = {x: low if y == high else y for x, y in label.items()}
+    return label
+
+
+def chain_texts(n, seed):
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for i in range(n):
+        own = list(base)
+        own[i % 64] = f"x{i}"
+        texts.append(" ".join(own))
+    random.Random(seed).shuffle(texts)
+    return texts
+
+
+def test_no_link_is_lost_in_buckets_beyond_one_task(spark, monkeypatch):
+    """All sets in one bucket, so no other one helps: chains, strays that are like each other alone, and sets of other sizes."""
+    texts = chain_texts(300, 2)
+    far = [f"w{k}" for k in range(70)]
+    far[::9] = [f"far{k}" for k in range(8)]
+    texts += [" ".join([*far, f"end{k}"]) for k in range(6)]
+    texts += near_copies(random.Random(9), 20, 7)
+    docs = frame(spark, texts)
+    signatures = docs.select(F.xxhash64("text").alias("content"), "text").mapInArrow(similar._signatures, "content long, node long, bands array<long>, size long")
+    signatures = signatures.withColumn("bands", F.array(F.lit(1).cast("long")))
+    sets = {similar._node(s): s for s in map(similar.shingle_set, texts)}
+    alike = [(u, v) for u, x in sets.items() for v, y in sets.items() if u < v and 5 * (n := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - n)]
+    want = groups(sets, alike)
+    assert len({*want.values()}) > 2
+    for most in (400, 3000, 10_000, 1 << 24):
+        monkeypatch.setattr(similar, "BUCKET_SHINGLES", most)
+        got = [(r.u, r.v) for r in similar.similar_sets(docs, signatures).collect()]
+        assert {(min(x), max(x)) for x in got if x[0] != x[1]} <= set(alike)
+        assert groups(sets, got) == want, most
+
+
 def test_clashing_names(spark):
     names = ["_id", "__id", "_content", "content", "root", "n", "__content", "_text", "__text"]
     rows = spark.createDataFrame([(i, t, *range(70, 70 + len(names))) for i, t in enumerate(["a b c d e f", "a b c d e f", "x"])], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
