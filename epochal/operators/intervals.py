@@ -165,8 +165,13 @@ def time_span(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def tot_length(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The length of all intervals together."""
-    return df.groupBy(*(by or [])).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("tot_ns"))
+    """The length of all intervals together, a BIGINT; a DECIMAL where that is too small for it (292 years of all keys together)."""
+    rows = df.groupBy(*(by or [])).agg(F.sum((F.col("end_ns") - F.col("start_ns")).cast("decimal(20,0)")).alias("tot_ns"))
+    if not by:
+        total = rows.first()[0]
+        return df.sparkSession.range(1).select(F.lit(total).cast("bigint" if abs(total or 0) < 1 << 63 else "decimal(30,0)").alias("tot_ns"))
+    most = rows.agg(F.max(F.abs("tot_ns"))).first()[0]
+    return rows.withColumn("tot_ns", F.col("tot_ns").cast("bigint")) if (most or 0) < 1 << 63 else rows
 
 
 def centers(df: DataFrame, alpha: float = 0.5) -> DataFrame:

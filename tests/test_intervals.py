@@ -82,3 +82,11 @@ def test_lengths_by_key(spark):
     assert sorted(map(tuple, iv.tot_length(df, ["unit"]).collect())) == [(0, 4 * S), (1, 2 * S)]
     assert sorted(map(tuple, iv.time_span(df, ["unit"]).collect())) == [(0, 0, 5 * S), (1, 7 * S, 9 * S)]
     assert iv.tot_length(df).first().tot_ns == 6 * S
+
+
+def test_total_length_beyond_a_bigint(spark):
+    wide = spark.range(3).selectExpr("cast(id % 2 as int) as unit", "0L as start_ns", "4611686018427387904L as end_ns")
+    assert iv.tot_length(wide).first().tot_ns == 3 << 62
+    assert sorted((r.unit, int(r.tot_ns)) for r in iv.tot_length(wide, ["unit"]).collect()) == [(0, 2 << 62), (1, 1 << 62)]
+    assert iv.tot_length(wide.where("unit = 1")).dtypes == iv.tot_length(wide.where("unit > 1")).dtypes == [("tot_ns", "bigint")]
+    assert iv.tot_length(wide.where("unit > 1")).first().tot_ns is None
