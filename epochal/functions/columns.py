@@ -127,14 +127,17 @@ def diff(samples: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return samples.withColumn("dv", F.col(value) - F.lag(value).over(w)).where("dv is not null")
 
 
-def unwrap(samples: DataFrame, by: list[str], value: str = "v", period: float = 2 * math.pi) -> DataFrame:
-    """Steps of more than half a period are taken the short way round, as ``acc``."""
+def unwrap(samples: DataFrame, by: list[str], value: str = "v", period: float = 2 * math.pi, keep_half: bool = True) -> DataFrame:
+    """Steps of more than half a period are taken the short way round, as ``acc``.
+
+    A step of exactly half a period keeps its sign, or else goes down.
+    """
     w = Window.partitionBy(*by).orderBy("t_ns")
     step = F.col(value) - F.lag(value).over(w)
     rows = samples.withColumn("_d", step)
     turns = F.floor((F.col("_d") + period / 2) / period)
-    # a step of exactly half a period keeps its sign
-    turns = F.when((F.col("_d") > 0) & (F.col("_d") - period * turns == -period / 2), turns - 1).otherwise(turns)
+    if keep_half:
+        turns = F.when((F.col("_d") > 0) & (F.col("_d") - period * turns == -period / 2), turns - 1).otherwise(turns)
     back = F.when(F.abs("_d") < period / 2, 0.0).otherwise(-period * turns)
     rows = rows.withColumn("_c", F.coalesce(back, F.lit(0.0)))
     return rows.withColumn("acc", F.col(value) + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d", "_c")
