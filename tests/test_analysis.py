@@ -1,8 +1,11 @@
 """Correlograms, alignment, tuning, decoding, filters, spectra and sources on closed forms."""
 
+import itertools
 import math
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +161,30 @@ def test_streams_equal_batch(spark, tmp_path):
     q = count_stream(stream, "ts", 3600, ["event_type"], late="0 seconds").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("counts").collect()) == sorted(count_stream(events, "ts", 3600, ["event_type"]).collect())
+
+
+@pytest.mark.parametrize("which", ["same", "before", "all"])
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("listed", [None, False, True])
+def test_pair_counts(which, reverse, listed, monkeypatch):
+    """Look-ups and listed pairs against all pairs, with equal times, odd bins and lags on the borders."""
+    monkeypatch.setattr(correlograms, "LISTED", 50)
+    rng = np.random.default_rng(5)
+    for bin_ns, window_ns, names in ((3, 10, [7, 2, 40]), (4, 9, ["b", "a", "c"])):
+        n = correlograms.lag_bins(window_ns, bin_ns)
+        edges = np.array([-((n - 2 * k) * bin_ns // 2) for k in range(n + 1)])
+        a, b = (pd.DataFrame({"unit": rng.choice(names, size), "t_ns": rng.integers(0, 60, size)}) for size in (80, 90))
+        got = correlograms.pair_counts(a, b, edges, which, reverse, listed)
+        want = Counter()
+        for (u, s), (v, t) in itertools.product(a.itertuples(index=False), b.itertuples(index=False)):
+            d = 2 * (s - t if reverse else t - s) + n * bin_ns
+            if 0 <= d < 2 * n * bin_ns and {"same": u == v, "before": u < v, "all": True}[which]:
+                want[u, v, d // (2 * bin_ns)] += 1
+        assert {(r.unit, r.unit2, r.bin): r.n_pairs for r in got.itertuples()} == want
+        assert not len(correlograms.pair_counts(a[:0], b, edges, which, reverse, listed))
+
+
+def test_correlograms_list_no_pairs(spark):
+    x = samples(spark, [0.0, 1.0]).unionByName(samples(spark, [1.0], unit=1))
+    got = correlograms.crosscorrelogram(x, iset(spark, [(-1, 5)]), S, 100 * S)
+    assert "t_ns_y" not in got._jdf.queryExecution().executedPlan().toString()
